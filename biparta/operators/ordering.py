@@ -23,7 +23,7 @@ def _placed(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     slot = F.col("__slot")
     ordered = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
     return materialize(ordered.withColumn("__slot", F.monotonically_increasing_id()), label).select(
-        "*", F.shiftright(slot, _ROW_BITS).alias("__part"), slot.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("__place")
+        "*", F.shiftright(slot, _ROW_BITS).alias("__gr_part"), slot.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("__gr_place")
     )
 
 
@@ -35,30 +35,30 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", start: i
     """
     keys = [F.col(b).asc() for b in by] + list(order)
     placed = _placed(df, keys, "rank").drop("__slot")
-    parts = placed.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__head"))
+    parts = placed.groupBy("__gr_part", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__gr_place").alias("__gr_head"))
     # one row per range (and group): bounded by the number of shuffle partitions
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    before = Window.partitionBy(*by).orderBy("__gr_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumn("__gr_before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     side = F.broadcast(offsets) if not by else offsets
-    rank = F.col("__before") + F.col("__place") - F.col("__head") + F.lit(start)
-    return placed.join(side, ["__part", *by]).withColumn(name, rank.cast("bigint")).drop("__part", "__place", "__before", "__head")
+    rank = F.col("__gr_before") + F.col("__gr_place") - F.col("__gr_head") + F.lit(start)
+    return placed.join(side, ["__gr_part", *by]).withColumn(name, rank.cast("bigint")).drop("__gr_part", "__gr_place", "__gr_before", "__gr_head")
 
 
 def running_sum(df: DataFrame, order: list[Column], values: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running sums ``{new column: summed column}`` in global order."""
     keys = [F.col(b).asc() for b in by] + list(order)
     placed = _placed(df, keys, "running").drop("__slot")
-    inside = Window.partitionBy("__part", *by).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__gr_part", *by).orderBy("__gr_place").rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(v).over(inside).alias(f"__in_{n}") for n, v in values.items()])
-    parts = placed.groupBy("__part", *by).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__part", *by, *[F.sum(f"__sum_{n}").over(before).alias(f"__off_{n}") for n in values])
+    parts = placed.groupBy("__gr_part", *by).agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
+    before = Window.partitionBy(*by).orderBy("__gr_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__gr_part", *by, *[F.sum(f"__sum_{n}").over(before).alias(f"__off_{n}") for n in values])
     side = F.broadcast(offsets) if not by else offsets
-    out = local.join(side, ["__part", *by])
+    out = local.join(side, ["__gr_part", *by])
     for n in values:
         out = out.withColumn(n, F.coalesce(F.col(f"__off_{n}"), F.lit(0)) + F.col(f"__in_{n}"))
     extra = [f"__{kind}_{n}" for n in values for kind in ("in", "off")]
-    return out.drop("__part", "__place", *extra)
+    return out.drop("__gr_part", "__gr_place", *extra)
 
 
 def global_dense_rank(df: DataFrame, col: str, name: str, descending: bool = True) -> DataFrame:
