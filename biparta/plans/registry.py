@@ -47,7 +47,7 @@ INV = """inv AS (SELECT l_partkey AS company, o_custkey AS investor, epoch(o_ord
   l_extendedprice AS raised, o_orderkey AS round_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 EDGES = """edges AS (SELECT company, investor, count(*) AS n_rounds, sum(raised) AS total_raised,
   min(ts) AS first_ts, max(ts) AS last_ts FROM inv GROUP BY 1, 2)"""
-INTER = """inter AS (SELECT company, investor, first_ts AS ts, total_raised AS raised, n_rounds,
+INTER = """inter AS MATERIALIZED (SELECT company, investor, first_ts AS ts, total_raised AS raised, n_rounds,
   row_number() OVER (ORDER BY first_ts, company, investor) - 1 AS idx FROM edges)"""
 ENDS = """ends AS (SELECT 'company' AS side, company AS id, investor AS other, * FROM inter
   UNION ALL SELECT 'investor', investor, company, * FROM inter)"""
@@ -57,11 +57,12 @@ CUTS = """cuts AS (SELECT quantile_cont(ts, 0.70) AS t1, quantile_cont(ts, 0.85)
 LABELLED = """labelled AS (SELECT inter.*, CASE WHEN ts <= t1 THEN 'train' WHEN ts <= t2 THEN 'val' ELSE 'test' END AS split FROM inter, cuts)"""
 NEGATIVE_SEED = 11
 POOL = "pool AS (SELECT investor AS negative, row_number() OVER (ORDER BY investor) - 1 AS place FROM (SELECT DISTINCT investor FROM inter))"
-NEGS = f"""negs AS (SELECT i.company, i.investor, i.idx, i.ts, s.slot, p.negative FROM inter i, (SELECT unnest(range(0, 1)) AS slot) s, pool p
-  WHERE p.place = {sql_draw(NEGATIVE_SEED, 'i.idx', 's.slot')} % (SELECT count(*) FROM pool))"""
+NEGS = f"""draws AS MATERIALIZED (SELECT i.company, i.investor, i.idx, i.ts, s.slot, {sql_draw(NEGATIVE_SEED, 'i.idx', 's.slot')} % c.n AS place
+  FROM inter i, (SELECT unnest(range(0, 1)) AS slot) s, (SELECT count(*) AS n FROM pool) c),
+  negs AS MATERIALIZED (SELECT d.* EXCLUDE (place), p.negative FROM draws d JOIN pool p ON p.place = d.place)"""
 # scored pairs: late positives and their random negatives, with a hash-made probability
 SCORE_SEED = 7
-SCORES = f"""scores AS (SELECT company, investor, max(label) AS label, round({sql_uniform(SCORE_SEED, 'company', 'investor')}, 6) AS p FROM (
+SCORES = f"""scores AS MATERIALIZED (SELECT company, investor, max(label) AS label, round({sql_uniform(SCORE_SEED, 'company', 'investor')}, 6) AS p FROM (
   SELECT company, investor, 1.0::DOUBLE AS label FROM inter UNION ALL SELECT company, negative, 0.0::DOUBLE FROM negs) GROUP BY company, investor)"""
 
 

@@ -323,8 +323,8 @@ def n1(spark, d):
 
 @query(
     "n2_negatives_per_positive",
-    with_(INV, EDGES, INTER, POOL) + f"""SELECT i.idx, count(*) AS n, sum(p.negative)::BIGINT AS total, count(DISTINCT p.negative) AS distinct_n FROM inter i, (SELECT unnest(range(0, 20)) AS slot) s, pool p
-    WHERE p.place = {sql_draw(12, 'i.idx', 's.slot')} % (SELECT count(*) FROM pool) GROUP BY 1""",
+    with_(INV, EDGES, INTER, POOL, f"draws AS MATERIALIZED (SELECT i.idx, {sql_draw(12, 'i.idx', 's.slot')} % c.n AS place FROM inter i, (SELECT unnest(range(0, 20)) AS slot) s, (SELECT count(*) AS n FROM pool) c)")
+    + "SELECT idx, count(*) AS n, sum(negative)::BIGINT AS total, count(DISTINCT negative) AS distinct_n FROM draws JOIN pool USING (place) GROUP BY 1",
 )
 def n2(spark, d):
     x = inputs.interactions(spark, d)
@@ -343,7 +343,8 @@ def _prime(n: str) -> str:
         "cpool AS (SELECT company AS negative, row_number() OVER (ORDER BY company) - 1 AS place FROM (SELECT DISTINCT company FROM inter))",
         f"pr AS (SELECT {_prime('(SELECT count(*) FROM cpool)')} AS p)",
         f"walk AS (SELECT idx, company AS positive, investor, ts, p, {sql_draw(4, 'idx', chr(39) + 'step' + chr(39))} % (p - 1) + 1 AS step, {sql_draw(4, 'idx', chr(39) + 'offset' + chr(39))} % p AS off FROM inter, pr)",
-        """tries AS (SELECT w.idx, w.investor, w.positive, c.negative, turn FROM walk w, (SELECT unnest(range(0, 80)) AS turn) k JOIN cpool c ON c.place = (w.step * turn + w.off) % w.p
+        "turns AS MATERIALIZED (SELECT w.*, turn, (w.step * turn + w.off) % w.p AS place FROM walk w, (SELECT unnest(range(0, 80)) AS turn) k)",
+        """tries AS (SELECT w.idx, w.investor, w.positive, c.negative, turn FROM turns w JOIN cpool c ON c.place = w.place
           WHERE c.negative <> w.positive AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.company = c.negative AND e.investor = w.investor AND e.first_ts <= w.ts))""",
     )
     + "SELECT idx, investor, positive, negative, slot FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY turn) - 1 AS slot FROM tries) WHERE slot < 2",
