@@ -28,7 +28,7 @@ def _with_minimum(pairs: DataFrame) -> DataFrame:
     top = minima.agg(F.max("n").alias("n")).first()["n"] or 0
     if top <= HOT_ROWS:
         return pairs.join(minima.drop("n"), "u")
-    return spread_join(pairs, minima.drop("n"), ["u"], hot_keys(minima, ["u"], "n"), [F.col("v")])
+    return spread_join(pairs, minima.drop("n"), ["u"], hot_keys(minima, ["u"], "n", HOT_ROWS), [F.col("v")])
 
 
 def _both_ways(e: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biparta.operators.ordering import range_bucket, split_points
+from biparta.session import shuffle_width
 
-TIME_BUCKETS = 32
+# Time buckets per lookup: as many as shuffle partitions, within these bounds.
+MIN_BUCKETS, MAX_BUCKETS = 32, 256
 
 
 def as_of(
@@ -23,7 +25,7 @@ def as_of(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     inclusive: bool = False,
-    buckets: int = TIME_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Totals of the events before each distinct (keys, time) of ``queries``.
 
@@ -32,6 +34,7 @@ def as_of(
     with the time, which gives "the latest value of".
     """
     sums, maxes = sums or {}, maxes or {}
+    buckets = buckets or min(MAX_BUCKETS, max(MIN_BUCKETS, shuffle_width(events.sparkSession)))
     group = [*keys, time]
     daily = events.groupBy(*group).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in maxes.items()])
     types = {f.name: f.dataType for f in daily.schema.fields}
