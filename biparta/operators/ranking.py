@@ -36,6 +36,34 @@ def _floor(x: Column) -> Column:
     return F.when(x > EPS, x).otherwise(F.lit(EPS))
 
 
+class NodeCode:
+    """One key column for a node of either side.
+
+    Whole-number ids become ``2 * id`` or ``2 * id + 1``, so that joins and sums run on a
+    single long; other ids become a string with a side prefix.
+    """
+
+    def __init__(self, edges: DataFrame):
+        types = {edges.schema[c].dataType.typeName() for c in (COMPANY, INVESTOR)}
+        self.numeric = types <= {"byte", "short", "integer", "long"}
+        self.id_type = edges.schema[COMPANY].dataType.simpleString() if self.numeric else "string"
+
+    def encode(self, side: str, node_id: Column) -> Column:
+        bit = int(side == INVESTOR)
+        return node_id.cast("bigint") * 2 + bit if self.numeric else F.concat(F.lit(f"{bit}:"), node_id.cast("string"))
+
+    def encode_by(self, side: Column, node_id: Column) -> Column:
+        return F.when(side == COMPANY, self.encode(COMPANY, node_id)).otherwise(self.encode(INVESTOR, node_id))
+
+    def side(self, node: Column) -> Column:
+        is_company = node.bitwiseAND(F.lit(1)) == 0 if self.numeric else node.startswith("0:")
+        return F.when(is_company, COMPANY).otherwise(INVESTOR)
+
+    def node_id(self, node: Column) -> Column:
+        plain = F.shiftright(node, 1) if self.numeric else F.substring(node, 3, 1 << 30)
+        return plain.cast(self.id_type)
+
+
 class RankGraph:
     """Prepared graph: arcs in both directions, and per-node penalties and normalisers."""
 
@@ -51,68 +79,70 @@ class RankGraph:
 
         ``alpha`` and ``beta`` may name columns, which must be constant inside a run.
         """
-        self.by = by
+        self.by, self.code = by, NodeCode(edges)
+        self.keys = [*by, "node"]
         a = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
         b = F.col(beta) if isinstance(beta, str) else F.lit(float(beta))
         w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+        c, v = self.code.encode(COMPANY, F.col(COMPANY)), self.code.encode(INVESTOR, F.col(INVESTOR))
         ends = F.explode(
-            F.array(
-                F.struct(F.lit(COMPANY).alias("side"), F.col(COMPANY).alias("id"), F.col(INVESTOR).alias("other"), b.alias("power")),
-                F.struct(F.lit(INVESTOR).alias("side"), F.col(INVESTOR).alias("id"), F.col(COMPANY).alias("other"), a.alias("power")),
-            )
+            F.array(F.struct(c.alias("node"), v.alias("other"), b.alias("power")), F.struct(v.alias("node"), c.alias("other"), a.alias("power")))
         )
-        arcs = edges.select(*by, ends.alias("e"), w.alias("w")).select(*by, "e.*", "w")
-        # arc: node (side, id) sends to ``other`` on the opposite side
-        arcs = materialize(arcs, "arcs")
-        keys = [*by, "side", "id"]
+        # an arc sends the value of ``node`` to ``other`` on the opposite side
+        arcs = materialize(edges.select(*by, ends.alias("e"), w.alias("w")).select(*by, "e.*", "w"), "arcs")
         strength = materialize(
-            arcs.groupBy(*keys).agg(F.sum("w").alias("k"), F.count(F.lit(1)).alias("n"), F.first("power").alias("power")), "strength"
+            arcs.groupBy(*self.keys).agg(F.sum("w").alias("k"), F.count(F.lit(1)).alias("n"), F.first("power").alias("power")), "strength"
         ).withColumn("penalty", F.pow(_floor(F.col("k")), -F.col("power")))
-        self.hot = hot_keys(strength, keys, "n")
+        self.hot = hot_keys(strength, self.keys, "n")
         self.any_hot = not self.hot.isEmpty()
         self.arcs = self._spread(arcs.drop("power"))
-        norms = self._send(strength.select(*keys, F.col("penalty").alias("x"))).withColumnRenamed("x", "norm")
-        self.nodes = materialize(strength.join(norms, keys).withColumn("norm", _floor(F.col("norm"))).select(*keys, "k", "penalty", "norm"), "nodes")
-        self.keys = keys
+        norms = self._send(strength.select(*self.keys, F.col("penalty").alias("x"))).withColumnRenamed("x", "norm")
+        self.table = materialize(
+            strength.join(norms, self.keys).withColumn("norm", _floor(F.col("norm"))).select(*self.keys, "k", "penalty", "norm"), "nodes"
+        )
+
+    @property
+    def nodes(self) -> DataFrame:
+        """``(by, side, id, k, penalty, norm)``"""
+        return self.decode(self.table)
+
+    def decode(self, df: DataFrame) -> DataFrame:
+        node = F.col("node")
+        rest = [x for x in df.columns if x not in self.keys]
+        return df.select(*self.by, self.code.side(node).alias("side"), self.code.node_id(node).alias("id"), *rest)
 
     def _spread(self, arcs: DataFrame) -> DataFrame:
         if not self.any_hot:
             return arcs
-        keys = [*self.by, "side", "id"]
         # hot keys: at most 1 / HOT_SHARE rows by definition
-        flagged = arcs.join(F.broadcast(self.hot.withColumn("hot", F.lit(True))), keys, "left")
+        flagged = arcs.join(F.broadcast(self.hot.withColumn("hot", F.lit(True))), self.keys, "left")
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
         return materialize(flagged.withColumn("salt", salt).drop("hot"), "arcs")
 
     def _send(self, x: DataFrame) -> DataFrame:
         """Sum of ``w * x`` over the arcs that reach each node."""
-        keys = [*self.by, "side", "id"]
+        keys = self.keys
         if self.any_hot:
             slots = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
             x = x.join(F.broadcast(self.hot.withColumn("hot", F.lit(True))), keys, "left").withColumn("salt", F.explode(slots)).drop("hot")
             keys = [*keys, "salt"]
-        reached = F.when(F.col("side") == COMPANY, INVESTOR).otherwise(COMPANY)
-        return (
-            self.arcs.join(x, keys)
-            .groupBy(*self.by, reached.alias("side"), F.col("other").alias("id"))
-            .agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        )
+        return self.arcs.join(x, keys).groupBy(*self.by, F.col("other").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
     def start(self) -> DataFrame:
         """Zero-order vector; ``m`` is the value divided by the node's normaliser, as sent in the next step."""
-        return self.nodes.select(*self.keys, F.col("k").alias("x"), (F.col("k") / F.col("norm")).alias("m"))
+        return self.table.select(*self.keys, F.col("k").alias("x"), (F.col("k") / F.col("norm")).alias("m"))
 
     def step(self, x: DataFrame) -> DataFrame:
         got = self._send(x.select(*self.keys, F.col("m").alias("x")))
         value = F.col("x") * F.col("penalty")
-        return got.join(self.nodes, self.keys).select(*self.keys, value.alias("x"), (value / F.col("norm")).alias("m"))
+        return got.join(self.table, self.keys).select(*self.keys, value.alias("x"), (value / F.col("norm")).alias("m"))
 
     def unit(self, x: DataFrame) -> DataFrame:
-        """Scale each side of each run to unit length (zero vectors stay)."""
+        """``(by, side, id, score)``: each side of each run scaled to unit length (zero vectors stay)."""
+        rows = self.decode(x) if "node" in x.columns else x
         group = [*self.by, "side"]
-        extra = [c for c in x.columns if c == "iteration"]
-        length = x.groupBy(*group, *extra).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-        return x.join(length, [*group, *extra]).withColumn(
+        length = rows.groupBy(*group).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+        return rows.join(length, group).withColumn(
             "score", F.when(F.col("length") > EPS, F.col("x") / F.col("length")).otherwise(F.col("x"))
         ).drop("x", "m", "length")
 
@@ -121,7 +151,7 @@ class RankGraph:
         x = self.start()
         for i in range(1, iterations + 1):
             x = self.step(x)
-            if i % CUT_EVERY == 0 and i < iterations:
+            if i % CUT_EVERY == 0 or i == iterations:
                 x = materialize(x, "vector")
         return self.unit(x)
 
@@ -152,18 +182,18 @@ def converge(
     Returns scores ``(by, side, id, initial_position, position, score)`` and
     ``stops(by, side, iterations)``. ``nodes`` adds isolates with score 0.
     """
-    by, keys = list(graph.by), graph.keys
-    group = [*by, "side"]
-    spark = graph.nodes.sparkSession
+    by = list(graph.by)
+    group, keys = [*by, "side"], [*by, "side", "id"]
+    spark = graph.table.sparkSession
     x = graph.start()
-    everyone = graph.nodes.select(*keys)
+    known = graph.nodes.select(*keys)
+    isolated = known.limit(0)
     if nodes is not None:
         wanted = nodes.select("side", "id")
         if by:
-            # few runs by contract, so the run list is short
-            runs = graph.nodes.select(*by).distinct()
-            wanted = wanted.join(F.broadcast(runs))
-        everyone = materialize(everyone.unionByName(wanted.select(*keys)).distinct(), "everyone")
+            wanted = wanted.withColumn("__run", F.explode(_run_list(graph))).select("__run.*", "side", "id")
+        isolated = materialize(wanted.select(*keys).distinct().join(known, keys, "left_anti"), "isolated")
+    everyone = known.unionByName(isolated)
     sizes = {tuple(r[g] for g in group): r["n"] for r in everyone.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).collect()}
     streak = dict.fromkeys(sizes, 0)
     stop: dict[tuple, int] = {}
@@ -176,9 +206,9 @@ def converge(
         fresh: list[DataFrame] = []
         for i in range(done + 1, done + count + 1):
             x = materialize(graph.step(x), "vector")
-            fresh.append(x.select(*keys, "x", F.lit(i).alias("iteration")))
-        table = reduce(DataFrame.unionByName, fresh)
-        missing = everyone.join(graph.nodes, keys, "left_anti").select(
+            fresh.append(x.select(*graph.keys, "x", F.lit(i).alias("iteration")))
+        table = graph.decode(reduce(DataFrame.unionByName, fresh))
+        missing = isolated.select(
             *keys, F.lit(0.0).alias("x"), F.explode(F.sequence(F.lit(done + 1), F.lit(done + count))).alias("iteration")
         )
         ranks = global_rank(
@@ -220,6 +250,12 @@ def converge(
     return scores.select(*keys, "initial_position", "position", "score"), stops
 
 
+def _run_list(graph: RankGraph) -> Column:
+    """The runs as an array literal: a parameter or sample list, short by contract."""
+    rows = graph.table.select(*graph.by).distinct().collect()
+    return F.array(*[F.struct(*[F.lit(r[b]).alias(b) for b in graph.by]) for r in rows])
+
+
 def ranked(scores: DataFrame, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """Add the 1-based rank (best score first) per side; ``digits`` ranks on rounded scores."""
     value = F.round("score", digits) if digits is not None else F.col("score")
@@ -244,7 +280,7 @@ def rank_graph(
         scores, _ = converge(graph, nodes, compat=compat)
         return ranked(scores).drop("position")
     first = graph.unit(graph.step(graph.start())).withColumnRenamed("score", "__one")
-    scores = graph.run(iterations).join(first, graph.keys)
+    scores = graph.run(iterations).join(first, ["side", "id"])
     if nodes is not None:
         scores = nodes.select("side", "id").join(scores, ["side", "id"], "left").fillna(0.0, ["score", "__one"])
     placed = global_rank(scores, [F.col("__one").asc(), F.col("id").asc()], "initial_position", start=0, by=("side",))
