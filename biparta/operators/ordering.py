@@ -12,16 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biparta.session import materialize, shuffle_width
+from biparta.session import materialize
 
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
 def _placed(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     """Write ``df`` in range order with its partition number and place inside it."""
-    width = shuffle_width(df.sparkSession)
     slot = F.col("__slot")
-    ordered = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    # no fixed number of ranges: AQE joins small neighbouring ones, which keeps the order
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(ordered.withColumn("__slot", F.monotonically_increasing_id()), label).select(
         "*", F.shiftright(slot, _ROW_BITS).alias("__gr_part"), slot.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("__gr_place")
     )
