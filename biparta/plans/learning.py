@@ -59,7 +59,9 @@ def _late_pairs(spark, d):
 
 
 def _features(spark, d):
-    return features.pair_features(_late_pairs(spark, d), fixtures.investments(spark, d), inputs.categories(spark, d), AT)
+    # the merged rounds are read by every feature group: join them once
+    events = materialize(fixtures.investments(spark, d), "events")
+    return features.pair_features(_late_pairs(spark, d), events, inputs.categories(spark, d), AT)
 
 
 _FEATURE_LIST = ", ".join(f"round({f}, 6) AS {f}" for f in features.FEATURES)
