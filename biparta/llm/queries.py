@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import language_id, mixing, packing, secret_scan, shard_table, url_trust
+from biparta.llm import jaccard_join, language_id, mixing, packing, secret_scan, shard_table, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,8 @@ SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN host_score > {url
 @query("op9_url_trust", _OP9)
 def op9_url_trust(spark: SparkSession, d: str) -> DataFrame:
     return url_trust.filter_urls(table(spark, d, "pages")).drop("host_score")
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, d, "documents"))
