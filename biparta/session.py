@@ -43,15 +43,25 @@ def durable_path(spark: SparkSession, label: str) -> str:
     return f"{durable_root(spark)}/biparta/{label}-{uuid.uuid4().hex}"
 
 
+# Shuffle files of a finished statement are deleted at once, not when the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives later plans a
-    table whose size is known, so that join strategies follow real sizes.
+    table whose size is known, so that join strategies follow real sizes. The
+    shuffles that made the table go with the end of the write.
     """
     spark = df.sparkSession
     path = durable_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
