@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import jaccard_join, language_id, mixing, packing, secret_scan, shard_table, url_trust
+from biparta.llm import jaccard_join, language_id, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,13 @@ def op9_url_trust(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, d, "documents"))
+
+
+@query("op5_near_vectors")
+def op5_near_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op6_permutation_index")
+def op6_permutation_index(spark: SparkSession, d: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
