@@ -30,8 +30,3 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
     if held:
         yield pa.Table.from_batches(held)
 
-
-def binary_matrix(column: pa.ChunkedArray, width: int, dtype=np.uint8) -> np.ndarray:
-    """Rows of equally long binary values as a matrix."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype).reshape(len(column), width)
