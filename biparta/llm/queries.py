@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import jaccard_join, language_id, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, url_trust
+from biparta.llm import jaccard_join, language_id, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,8 @@ def op5_near_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_permutation_index")
 def op6_permutation_index(spark: SparkSession, d: str) -> DataFrame:
     return permutation_index.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, d, "documents"), keep_bytes=False).drop("kept")
