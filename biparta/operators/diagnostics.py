@@ -28,7 +28,7 @@ def gini(values: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
     hist = values.groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     cum = running_sum(hist, [F.col("__v").asc()], {"__cum": "__n"}, by)
     # ranks of equal values run from cum - n + 1 to cum: their sum is n * (2 cum - n + 1) / 2
-    rank_sum = F.col("__n") * (2 * F.col("__cum") - F.col("__n") + 1) / 2
+    rank_sum = F.col("__n").cast("double") * (2 * F.col("__cum") - F.col("__n") + 1) / 2
     n, total = F.sum("__n"), F.sum(F.col("__n") * F.col("__v"))
     weighted = 2 * F.sum(rank_sum * F.col("__v")) - (n + 1) * total
     return cum.groupBy(*by).agg(F.when(total > 0, weighted / (n * total)).otherwise(F.lit(0.0)).alias("gini"))
@@ -53,17 +53,18 @@ def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.agg(F.struct(F.count_if(F.col("side") == COMPANY).alias("c"), F.count_if(F.col("side") == INVESTOR).alias("v")).alias("n")).scalar()
     m = F.col("edges")
     both = n["c"] + n["v"]
-    possible = n["c"] * n["v"]
+    # counts multiplied as doubles; the integer column is null where it does not fit
+    possible = n["c"].cast("double") * n["v"]
     return edges.agg(F.count(F.lit(1)).alias("edges")).select(
         n["c"].alias("n_companies"),
         n["v"].alias("n_investors"),
         m,
-        possible.alias("possible_edges"),
+        F.try_multiply(n["c"], n["v"]).alias("possible_edges"),
         F.coalesce(F.try_divide(m, possible), F.lit(0.0)).alias("density"),
         ((1 - F.coalesce(F.try_divide(m, possible), F.lit(0.0))) * 100).alias("sparsity_pct"),
         F.coalesce(F.try_divide(m, n["v"]), F.lit(0.0)).alias("edges_per_investor"),
         F.coalesce(F.try_divide(m, n["c"]), F.lit(0.0)).alias("edges_per_company"),
-        F.coalesce(F.try_divide(2 * m, both * (both - 1)), F.lit(0.0)).alias("unipartite_density"),
+        F.coalesce(F.try_divide(2 * m, both.cast("double") * (both - 1)), F.lit(0.0)).alias("unipartite_density"),
     )
 
 
@@ -71,7 +72,7 @@ def imbalance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: side and degree ratios, positive rate, negatives per positive, size imbalance."""
     d = density(edges, nodes)
     c, v, m = F.col("n_companies"), F.col("n_investors"), F.col("edges")
-    rate = F.coalesce(F.try_divide(m, c * v), F.lit(0.0))
+    rate = F.coalesce(F.try_divide(m, c.cast("double") * v), F.lit(0.0))
     return d.select(
         F.try_divide(v, c).alias("ratio_investors_companies"),
         F.try_divide(m / v, m / c).alias("ratio_avg_degree"),
@@ -161,19 +162,6 @@ FINDING_RULES = [
     ("largest_pct_if_split", "below", [(80.0, "warning", "fragmented graph")]),
     ("abs_assortativity_investors", "above", [(0.4, "warning", "strong investor assortativity")]),
 ]
-# Advice given with each finding.
-ADVICE = {
-    "hyper sparse": ["hard negative sampling", "global graph features", "data augmentation by metapaths"],
-    "very sparse": ["larger batches", "pre-trained embeddings"],
-    "extreme inequality": ["inverse frequency weights", "resample hubs and periphery", "outlier-robust methods"],
-    "strong inequality": ["normalise degrees in features"],
-    "extreme imbalance": ["focal or adaptive loss", "oversample positives", "synthetic positives"],
-    "strong imbalance": ["balanced batches", "class weights"],
-    "cold start": ["external features", "transfer from similar nodes", "two-stage model"],
-    "many isolated nodes": [],
-    "fragmented graph": ["analyse components separately", "train on the largest component"],
-    "strong investor assortativity": ["use assortativity as a feature"],
-}
 
 
 def _first_hit(metric: str, direction: str, steps: list, value) -> Column | None:
@@ -208,13 +196,13 @@ def health_score(metrics: DataFrame) -> DataFrame:
 
 
 def health_findings(metrics: DataFrame) -> DataFrame:
-    """``(level, finding, advice)`` rows for the thresholds a graph crosses."""
+    """``(level, finding)`` rows for the thresholds a graph crosses."""
     found = []
     for metric, direction, steps in FINDING_RULES:
-        hit = _first_hit(metric, direction, steps, lambda w: F.struct(F.lit(w[0]).alias("level"), F.lit(w[1]).alias("finding"), F.array(*[F.lit(x) for x in ADVICE[w[1]]]).cast("array<string>").alias("advice")))
+        hit = _first_hit(metric, direction, steps, lambda w: F.struct(F.lit(w[0]).alias("level"), F.lit(w[1]).alias("finding")))
         found.append(hit)
     rows = F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return metrics.select(rows.alias("f")).select("f.level", "f.finding", F.explode_outer("f.advice").alias("advice"))
+    return metrics.select(rows.alias("f")).select("f.level", "f.finding")
 
 
 def readiness(edges: DataFrame, nodes: DataFrame) -> DataFrame:

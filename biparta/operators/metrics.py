@@ -34,10 +34,10 @@ def ranking_quality(scored: DataFrame, by: tuple[str, ...] = (), score: str = "s
     negatives = F.col("rows") - F.col("positives")
     inside = F.col("__n") - F.col("__p")
     below = negatives - (F.col("__cn") - F.col("__cp"))
-    wins = F.sum(F.col("__p") * (below + inside / 2))
-    precision = F.sum(F.col("__p") * F.col("__cp") / F.col("__cn"))
+    wins = F.sum(F.col("__p").cast("double") * (below + inside / 2))
+    precision = F.sum(F.col("__p").cast("double") * F.col("__cp") / F.col("__cn"))
     return cum.groupBy(*by).agg(
-        F.try_divide(wins, F.max("positives") * F.max(negatives)).alias("auroc"),
+        F.try_divide(wins, F.max("positives").cast("double") * F.max(negatives)).alias("auroc"),
         F.try_divide(precision, F.max("positives")).alias("average_precision"),
         F.max("positives").cast("bigint").alias("positives"),
         F.max("rows").cast("bigint").alias("rows"),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,36 +33,17 @@ def comparison(long: DataFrame, key: str, models: list[str], gap: tuple[str, str
 
 
 def early_stop(series: DataFrame, run: str, epoch: str, value: str, patience: int = 3, higher_better: bool = True, tolerance: float = 1e-10) -> DataFrame:
-    """Per run: best epoch and the epoch at which ``patience`` rounds passed without a relative gain.
+    """Per run: place and value of the best epoch, and the place where ``patience`` epochs had brought no gain.
 
-    The rule is a fold over the epochs of one run, a short series by nature.
+    A gain exceeds the best of all earlier epochs by more than the tolerance times its
+    size; above a best of zero any larger value is a gain. Places count from 0.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        best, best_epoch, waited, stop = None, 0, 0, None
-        for i, v in enumerate(pdf.sort_values(epoch)[value]):
-            v = v if higher_better else -v
-            if best is None:
-                best = v
-            elif (v - best) / abs(best) > tolerance:
-                best, best_epoch, waited = v, i, 0
-            else:
-                waited += 1
-            if waited >= patience:
-                stop = i
-                break
-        out = {run: [pdf[run].iloc[0]], "best_epoch": [best_epoch], "best_value": [best if higher_better else -best]}
-        return pd.DataFrame({**out, "stop_epoch": pd.array([stop], dtype="Int64")})
-
-    kind = series.schema[run].dataType.simpleString()
-    return series.select(run, epoch, F.col(value).cast("double").alias(value)).groupBy(run).applyInPandas(
-        fold, f"{run} {kind}, best_epoch bigint, best_value double, stop_epoch bigint"
-    )
-
-
-def rounded_summary(runs: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
-    return runs.select(*[c for c in runs.columns if c not in cols], *[F.round(c, digits).alias(c) for c in cols])
-
-
-def metric_row(pattern: Column, name: str) -> Column:
-    return pattern.try_cast("double").alias(name)
+    in_order = Window.partitionBy(run).orderBy(epoch)
+    merit = F.col("v") if higher_better else -F.col("v")
+    earlier = F.max("merit").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    s = series.select(run, epoch, F.col(value).cast("double").alias("v")).withColumn("merit", merit).withColumn("place", (F.row_number().over(in_order) - 1).cast("bigint"))
+    s = s.withColumn("gain", earlier.isNull() | (F.col("merit") - earlier > tolerance * F.abs(earlier)))
+    last_gain = F.last(F.when(F.col("gain"), F.struct("place", "v")), ignorenulls=True).over(in_order)
+    s = s.withColumn("best", last_gain).withColumn("over", F.when(F.col("place") - F.col("best.place") >= patience, F.col("place")))
+    ends = s.groupBy(run).agg(F.coalesce(F.min_by("best", "over"), F.max_by("best", "place")).alias("b"), F.min("over").alias("stop_epoch"))
+    return ends.select(run, F.col("b.place").alias("best_epoch"), F.col("b.v").alias("best_value"), "stop_epoch")

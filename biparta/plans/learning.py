@@ -464,7 +464,16 @@ def a18(spark, d):
     return got.select("metric", *[F.round(f"`{c}`", 4).alias(c) for c in ("1-URGENT", "2-HIGH", "5-LOW")])
 
 
-@query("w11_early_stop")
+_W11 = """WITH series AS (SELECT event_type, floor(epoch(ts) / 86400) AS day, avg(value) AS v FROM events GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER w - 1 AS place, max(v) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM series WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+gains AS (SELECT *, CASE WHEN earlier IS NULL OR v - earlier > 1e-10 * abs(earlier) THEN place END AS g FROM placed),
+held AS (SELECT *, max(g) OVER (PARTITION BY event_type ORDER BY day) AS best FROM gains),
+ends AS (SELECT event_type, min(CASE WHEN place - best >= 3 THEN place END) AS stop_epoch FROM held GROUP BY 1),
+chosen AS (SELECT h.event_type, coalesce(e.stop_epoch - 3, max(h.best)) AS best_epoch, e.stop_epoch FROM held h JOIN ends e USING (event_type) GROUP BY h.event_type, e.stop_epoch)
+SELECT c.event_type, c.best_epoch, h.v AS best_value, c.stop_epoch FROM chosen c JOIN held h ON h.event_type = c.event_type AND h.place = c.best_epoch"""
+
+
+@query("w11_early_stop", _W11)
 def w11(spark, d):
     """Daily mean event value per event type as a metric series; patience 3."""
     x = fixtures.node_events(spark, d)
