@@ -268,3 +268,10 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
 
     root = durable_root(spark)
     assert durable_root(spark) == root
+
+
+def test_only_one_process_may_use_its_own_folder():
+    from biparta.session import is_local
+
+    assert is_local("local") and is_local("local[8]") and is_local("local[*]")
+    assert not any(is_local(m) for m in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x"))
