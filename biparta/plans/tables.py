@@ -48,7 +48,7 @@ def s4(spark, d):
     x = inputs.interactions(spark, d)
     ts = F.col("ts").cast("bigint").cast("string")
     line = F.concat_ws(",", "company", "investor", ts, F.lit("1.0"), "n_rounds", (F.col("company") + F.col("investor")).cast("string"))
-    x.repartitionByRange(4, "idx").sortWithinPartitions("idx").select(line.alias("value")).write.text(path)
+    x.repartitionByRange(4, "idx").sortWithinPartitions("idx").select(line.alias("item,customer,when,label,rounds,sum")).write.options(header=True, sep="\x01").csv(path)
     got = readers.read_interactions(spark, path)
     return got.select("u", "i", "ts", "label", "idx", F.col("feats")[0].alias("f1"), F.col("feats")[1].alias("f2"))
 

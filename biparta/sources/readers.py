@@ -66,16 +66,18 @@ def load_source(spark: SparkSession, name: str, fmt: str, location: str) -> Data
     raise ValueError(f"unknown source format {fmt}")
 
 
-def read_interactions(spark: SparkSession, path: str) -> DataFrame:
-    """Interaction lines ``u,i,ts,label,f1..fn`` with a header line and any number of features.
+def read_interactions(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Interaction lines ``u,i,ts,label,f1..fn`` with any number of features.
 
-    ``idx`` is the line order (0-based, header excluded).
+    With ``header`` the first line of each file is left out, whatever it says. ``idx`` is the line order (0-based, header excluded).
     """
     from biparta.operators.ordering import running_sum
 
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("line"))
-    data = lines.filter(~F.col("value").startswith("u,") & (F.length(F.trim("value")) > 0)).withColumn("one", F.lit(1))
+    # one column per line: no text holds the separator, and the reader knows where files begin
+    whole = spark.read.schema("value string").options(sep="\x01", quote="", header=header, enforceSchema=True).csv(path)
+    lines = whole.select("value", *place, F.monotonically_increasing_id().alias("line"))
+    data = lines.filter(F.length(F.trim("value")) > 0).withColumn("one", F.lit(1))
     numbered = running_sum(data, [F.col("file").asc(), F.col("block").asc(), F.col("line").asc()], {"n": "one"})
     p = F.split("value", ",")
     feats = F.transform(F.slice(p, 5, F.greatest(F.size(p) - 4, F.lit(0))), lambda x: x.cast("double"))
@@ -126,7 +128,9 @@ def scan_metric_logs(spark: SparkSession, path: str, patterns: dict[str, str], n
     ``name`` takes the run's name from the file path.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select(F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), name, 1).alias("run"), place.alias("line"), "value")
+    # one column per line: no text holds the separator, and the reader knows where files begin
+    whole = spark.read.schema("value string").options(sep="\x01", quote="", header=header, enforceSchema=True).csv(path)
+    lines = whole.select(F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), name, 1).alias("run"), place.alias("line"), "value")
     found: list[Column] = []
     for metric, pattern in patterns.items():
         value = F.regexp_extract("value", pattern, 1).try_cast("double")
