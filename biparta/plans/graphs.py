@@ -15,13 +15,11 @@ t = fixtures.table
 
 NODES = "nodes AS (SELECT 'company' AS side, p_partkey AS id FROM part UNION ALL SELECT 'investor', c_custkey FROM customer)"
 FULLDEG = "fulldeg AS (SELECT n.side, n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN deg d ON d.side = n.side AND d.id = n.id)"
-# a sparse slice with several components and isolates
-SLICE_TS = 990000000
-SLICE = f"slice AS (SELECT * FROM edges WHERE first_ts >= {SLICE_TS})"
-
-
-def _slice(spark, d):
-    return inputs.edges(spark, d).filter(F.col("first_ts") >= float(SLICE_TS))
+# smallest node of each component: labels go over edges until no label falls any more
+COMPONENTS = """und AS MATERIALIZED (SELECT 'company:' || company AS a, 'investor:' || investor AS b FROM edges UNION ALL SELECT 'investor:' || investor, 'company:' || company FROM edges),
+    walk(node, component) USING KEY (node) AS (SELECT a, a FROM und GROUP BY 1
+      UNION SELECT u.a, min(w.component) FROM walk w JOIN und u ON u.b = w.node JOIN recurring.walk r ON r.node = u.a WHERE w.component < r.component GROUP BY 1),
+    lab AS (SELECT node, component FROM walk)"""
 
 
 def _companies(spark, d):
@@ -152,54 +150,50 @@ def g11(spark, d):
 
 @query(
     "g12_component_sizes",
-    """WITH RECURSIVE """ + ",\n".join([INV, EDGES, SLICE])
-    + """, und AS (SELECT 'company:' || company AS a, 'investor:' || investor AS b FROM slice UNION SELECT 'investor:' || investor, 'company:' || company FROM slice),
-    walk(node, seen) AS (SELECT DISTINCT a, a FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.seen),
-    lab AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1)
+    """WITH RECURSIVE """ + ",\n".join([INV, EDGES])
+    + ", " + COMPONENTS + """
     SELECT component, count(*) AS size FROM lab GROUP BY 1""",
 )
 def g12(spark, d):
-    return components.component_sizes(components.components(_slice(spark, d)))
+    return components.component_sizes(components.components(inputs.edges(spark, d)))
 
 
 @query(
     "g12_connectivity",
-    """WITH RECURSIVE """ + ",\n".join([INV, EDGES, SLICE, NODES])
-    + """, und AS (SELECT 'company:' || company AS a, 'investor:' || investor AS b FROM slice UNION SELECT 'investor:' || investor, 'company:' || company FROM slice),
-    walk(node, seen) AS (SELECT DISTINCT a, a FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.seen),
-    lab AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1),
+    """WITH RECURSIVE """ + ",\n".join([INV, EDGES, NODES])
+    + ", " + COMPONENTS + """,
     everyone AS (SELECT coalesce(component, side || ':' || id) AS component FROM nodes LEFT JOIN lab ON node = side || ':' || id),
     sizes AS (SELECT component, count(*) AS size FROM everyone GROUP BY 1)
     SELECT count(*) AS n_components, max(size) AS largest_size, round(max(size) * 100.0::DOUBLE / sum(size), 6) AS largest_percentage, count(*) = 1 AS is_connected FROM sizes""",
 )
 def g12b(spark, d):
-    got = components.connectivity(components.components(_slice(spark, d), fixtures.company_nodes(spark, d)))
+    got = components.connectivity(components.components(inputs.edges(spark, d), fixtures.company_nodes(spark, d)))
     return got.withColumn("largest_percentage", F.round("largest_percentage", 6))
 
 
-@query("g13_isolates", with_(INV, EDGES, SLICE, NODES) + "SELECT side, id FROM nodes WHERE (side = 'company' AND id NOT IN (SELECT company FROM slice)) OR (side = 'investor' AND id NOT IN (SELECT investor FROM slice))")
+@query("g13_isolates", with_(INV, EDGES, NODES) + "SELECT side, id FROM nodes WHERE (side = 'company' AND id NOT IN (SELECT company FROM edges)) OR (side = 'investor' AND id NOT IN (SELECT investor FROM edges))")
 def g13(spark, d):
-    return graph.isolates(fixtures.company_nodes(spark, d), _slice(spark, d))
+    return graph.isolates(fixtures.company_nodes(spark, d), inputs.edges(spark, d))
 
 
-_TOP = "top AS (SELECT company FROM slice GROUP BY 1 ORDER BY count(*) DESC, company LIMIT 10)"
+_TOP = "top AS (SELECT company FROM edges GROUP BY 1 ORDER BY count(*) DESC, company LIMIT 10)"
 
 
 @query(
     "g14_neighbourhood",
-    with_(INV, EDGES, SLICE, _TOP) + "SELECT company, investor, n_rounds FROM slice WHERE investor IN (SELECT investor FROM slice WHERE company IN (SELECT company FROM top))",
+    with_(INV, EDGES, _TOP) + "SELECT company, investor, n_rounds FROM edges WHERE investor IN (SELECT investor FROM edges WHERE company IN (SELECT company FROM top))",
 )
 def g14(spark, d):
-    return graph.neighbourhood(_slice(spark, d), 10).select("company", "investor", "n_rounds")
+    return graph.neighbourhood(inputs.edges(spark, d), 10).select("company", "investor", "n_rounds")
 
 
 @query(
     "g14_induced_top_nodes",
-    with_(INV, EDGES, SLICE, "top_c AS (SELECT company FROM slice GROUP BY 1 ORDER BY count(*) DESC, company LIMIT 60)", "top_v AS (SELECT investor FROM slice GROUP BY 1 ORDER BY count(*) DESC, investor LIMIT 60)")
-    + "SELECT company, investor FROM slice WHERE company IN (SELECT company FROM top_c) AND investor IN (SELECT investor FROM top_v)",
+    with_(INV, EDGES, "top_c AS (SELECT company FROM edges GROUP BY 1 ORDER BY count(*) DESC, company LIMIT 60)", "top_v AS (SELECT investor FROM edges GROUP BY 1 ORDER BY count(*) DESC, investor LIMIT 60)")
+    + "SELECT company, investor FROM edges WHERE company IN (SELECT company FROM top_c) AND investor IN (SELECT investor FROM top_v)",
 )
 def g14b(spark, d):
-    e = _slice(spark, d)
+    e = inputs.edges(spark, d)
     keep = graph.top_nodes(e, "company", 60).unionByName(graph.top_nodes(e, "investor", 60))
     return graph.induced(e, keep).select("company", "investor")
 
@@ -237,18 +231,18 @@ def g17b(spark, d):
     return components.is_bipartite(e.select(F.col("company").alias("u"), F.col("investor").alias("v")))
 
 
-_PROJ = """pe AS (SELECT DISTINCT a.company AS x, b.company AS y FROM slice a JOIN slice b ON a.investor = b.investor AND a.company <> b.company),
+_PROJ = """pe AS (SELECT DISTINCT a.company AS x, b.company AS y FROM edges a JOIN edges b ON a.investor = b.investor AND a.company <> b.company),
   pd AS (SELECT x, count(*) AS degree FROM pe GROUP BY 1)"""
 
 
-@query("g18_projection_degrees", with_(INV, EDGES, SLICE, _PROJ) + "SELECT company AS id, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT company FROM slice) LEFT JOIN pd ON x = company")
+@query("g18_projection_degrees", with_(INV, EDGES, _PROJ) + "SELECT company AS id, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT company FROM edges) LEFT JOIN pd ON x = company")
 def g18(spark, d):
-    return projection.projection_degrees(_slice(spark, d), "company")
+    return projection.projection_degrees(inputs.edges(spark, d), "company")
 
 
-@query("g18_assortativity", with_(INV, EDGES, SLICE, _PROJ) + "SELECT 'company' AS side, round(corr(a.degree, b.degree), 6) AS assortativity FROM pe JOIN pd a ON a.x = pe.x JOIN pd b ON b.x = pe.y")
+@query("g18_assortativity", with_(INV, EDGES, _PROJ) + "SELECT 'company' AS side, round(corr(a.degree, b.degree), 6) AS assortativity FROM pe JOIN pd a ON a.x = pe.x JOIN pd b ON b.x = pe.y")
 def g18b(spark, d):
-    return projection.assortativity(_slice(spark, d), "company").withColumn("assortativity", F.round("assortativity", 6))
+    return projection.assortativity(inputs.edges(spark, d), "company").withColumn("assortativity", F.round("assortativity", 6))
 
 
 @query(
@@ -275,21 +269,19 @@ def g20(spark, d):
     return got.select(*[F.round(c, digits.get(c, 6)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
 
 
-_HEALTH_CC = """und AS (SELECT 'company:' || company AS a, 'investor:' || investor AS b FROM slice UNION SELECT 'investor:' || investor, 'company:' || company FROM slice),
-    walk(node, seen) AS (SELECT DISTINCT a, a FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.seen),
-    lab AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1),
+_HEALTH_CC = COMPONENTS + """,
     everyone AS (SELECT coalesce(component, side || ':' || id) AS component FROM nodes LEFT JOIN lab ON node = side || ':' || id),
     sizes AS (SELECT component, count(*) AS size FROM everyone GROUP BY 1),
-    sdeg AS (SELECT 'company' AS side, company AS id, count(*) AS degree FROM slice GROUP BY 2 UNION ALL SELECT 'investor', investor, count(*) FROM slice GROUP BY 2),
+    sdeg AS (SELECT 'company' AS side, company AS id, count(*) AS degree FROM edges GROUP BY 2 UNION ALL SELECT 'investor', investor, count(*) FROM edges GROUP BY 2),
     sfull AS (SELECT n.side, n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN sdeg d ON d.side = n.side AND d.id = n.id),
     gi AS (SELECT side, sum((2 * r - n - 1) * degree)::DOUBLE / (max(n) * sum(degree)) AS gini FROM (SELECT side, degree, row_number() OVER (PARTITION BY side ORDER BY degree) AS r, count(*) OVER (PARTITION BY side) AS n FROM sfull) GROUP BY 1),
-    m AS (SELECT (SELECT count(*) FROM slice)::DOUBLE / ((SELECT count(*) FROM part) * (SELECT count(*) FROM customer)) AS density, (SELECT max(gini) FROM gi) AS max_gini,
+    m AS (SELECT (SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM part) * (SELECT count(*) FROM customer)) AS density, (SELECT max(gini) FROM gi) AS max_gini,
       (SELECT count(*) FILTER (degree = 0) * 100.0::DOUBLE / count(*) FROM sfull) AS isolated_pct, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(size) * 100.0::DOUBLE / sum(size) FROM sizes) AS largest)"""
 
 
 @query(
     "g21_health_score",
-    "WITH RECURSIVE " + ",\n".join([INV, EDGES, SLICE, NODES, _HEALTH_CC])
+    "WITH RECURSIVE " + ",\n".join([INV, EDGES, NODES, _HEALTH_CC])
     + """ SELECT round(density, 8) AS density, round(max_gini, 6) AS max_gini, round(isolated_pct, 6) AS isolated_pct, n_components, greatest(0, 100
       - CASE WHEN density < 0.0001 THEN 40 WHEN density < 0.001 THEN 20 WHEN density < 0.01 THEN 10 ELSE 0 END
       - CASE WHEN max_gini > 0.8 THEN 30 WHEN max_gini > 0.6 THEN 15 ELSE 0 END
@@ -298,13 +290,13 @@ _HEALTH_CC = """und AS (SELECT 'company:' || company AS a, 'investor:' || invest
       - CASE WHEN n_components > 1 AND largest < 50 THEN 15 ELSE 0 END)::BIGINT AS health_score FROM m""",
 )
 def g21(spark, d):
-    got = diagnostics.health_score(diagnostics.health_metrics(_slice(spark, d), fixtures.company_nodes(spark, d)))
+    got = diagnostics.health_score(diagnostics.health_metrics(inputs.edges(spark, d), fixtures.company_nodes(spark, d)))
     return got.select(F.round("density", 8).alias("density"), F.round("max_gini", 6).alias("max_gini"), F.round("isolated_pct", 6).alias("isolated_pct"), "n_components", "health_score")
 
 
 @query(
     "g21_health_findings",
-    "WITH RECURSIVE " + ",\n".join([INV, EDGES, SLICE, NODES, _HEALTH_CC])
+    "WITH RECURSIVE " + ",\n".join([INV, EDGES, NODES, _HEALTH_CC])
     + """, f AS (SELECT CASE WHEN density < 0.0001 THEN 'hyper sparse' WHEN density < 0.001 THEN 'very sparse' END AS finding, CASE WHEN density < 0.0001 THEN 'problem' ELSE 'warning' END AS level FROM m
       UNION ALL SELECT CASE WHEN max_gini > 0.8 THEN 'extreme inequality' WHEN max_gini > 0.6 THEN 'strong inequality' END, CASE WHEN max_gini > 0.8 THEN 'problem' ELSE 'warning' END FROM m
       UNION ALL SELECT CASE WHEN density < 0.01 THEN 'extreme imbalance' WHEN density < 0.05 THEN 'strong imbalance' END, CASE WHEN density < 0.01 THEN 'problem' ELSE 'warning' END FROM m
@@ -313,28 +305,28 @@ def g21(spark, d):
     SELECT DISTINCT level, finding FROM f WHERE finding IS NOT NULL""",
 )
 def g21b(spark, d):
-    return diagnostics.health_findings(diagnostics.health_metrics(_slice(spark, d), fixtures.company_nodes(spark, d))).select("level", "finding").distinct()
+    return diagnostics.health_findings(diagnostics.health_metrics(inputs.edges(spark, d), fixtures.company_nodes(spark, d))).select("level", "finding").distinct()
 
 
 @query(
     "g22_ranking_readiness",
-    with_(INV, EDGES, SLICE)
-    + """SELECT c + v AS isolated, c AS zero_companies, v AS zero_investors, c + v = 0 AS is_ready FROM (SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT company FROM slice)) AS c,
-    (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT investor FROM slice)) AS v)""",
+    with_(INV, EDGES)
+    + """SELECT c + v AS isolated, c AS zero_companies, v AS zero_investors, c + v = 0 AS is_ready FROM (SELECT (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT company FROM edges)) AS c,
+    (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT investor FROM edges)) AS v)""",
 )
 def g22(spark, d):
-    return diagnostics.readiness(_slice(spark, d), fixtures.company_nodes(spark, d))
+    return diagnostics.readiness(inputs.edges(spark, d), fixtures.company_nodes(spark, d))
 
 
 @query(
     "g23_pre_rank_report",
-    with_(INV, EDGES, SLICE)
+    with_(INV, EDGES)
     + """SELECT (SELECT count(*) FROM part) AS n_companies, (SELECT count(*) FROM customer) AS n_investors,
-    (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT company FROM slice)) + (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT investor FROM slice)) AS isolated,
-    count(*) AS edges, min(n_rounds)::DOUBLE AS min_weight, max(n_rounds)::DOUBLE AS max_weight, round(avg(n_rounds), 6) AS mean_weight, count(*) FILTER (n_rounds > 0) AS positive_weights FROM slice""",
+    (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT company FROM edges)) + (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT investor FROM edges)) AS isolated,
+    count(*) AS edges, min(n_rounds)::DOUBLE AS min_weight, max(n_rounds)::DOUBLE AS max_weight, round(avg(n_rounds), 6) AS mean_weight, count(*) FILTER (n_rounds > 0) AS positive_weights FROM edges""",
 )
 def g23(spark, d):
-    e = _slice(spark, d).withColumn("weight", F.col("n_rounds").cast("double"))
+    e = inputs.edges(spark, d).withColumn("weight", F.col("n_rounds").cast("double"))
     return diagnostics.pre_rank_report(e, fixtures.company_nodes(spark, d)).withColumn("mean_weight", F.round("mean_weight", 6))
 
 
