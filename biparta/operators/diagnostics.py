@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from biparta.operators.components import components, connectivity
 from biparta.operators.graph import COMPANY, INVESTOR, degrees, endpoints
 from biparta.operators.ordering import exact_quantiles, running_sum
+from biparta.operators.projection import assortativity
 from biparta.session import materialize
 
 
@@ -172,8 +173,9 @@ def _first_hit(metric: str, direction: str, steps: list, value) -> Column | None
     return out
 
 
-def health_metrics(edges: DataFrame, nodes: DataFrame, assortativity: float | None = None) -> DataFrame:
+def health_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The one-row table the rules run on."""
+    alike = assortativity(edges, INVESTOR).select(F.abs("assortativity")).scalar()
     deg = degree_statistics(edges, nodes)
     top = deg.agg(
         F.struct(F.max("gini").alias("gini"), (F.sum("isolated") / F.sum("total") * 100).alias("iso")).alias("s")
@@ -183,7 +185,7 @@ def health_metrics(edges: DataFrame, nodes: DataFrame, assortativity: float | No
     )
     # both sides have exactly one row
     return density(edges, nodes).select("density", F.col("density").alias("avg_positive_rate")).select(
-        "*", top["gini"].alias("max_gini"), top["iso"].alias("isolated_pct"), F.lit(assortativity).cast("double").alias("abs_assortativity_investors"), F.lit(1).alias("__one")
+        "*", top["gini"].alias("max_gini"), top["iso"].alias("isolated_pct"), alike.alias("abs_assortativity_investors"), F.lit(1).alias("__one")
     ).join(conn.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 

@@ -275,14 +275,17 @@ _HEALTH_CC = COMPONENTS + """,
     sdeg AS (SELECT 'company' AS side, company AS id, count(*) AS degree FROM edges GROUP BY 2 UNION ALL SELECT 'investor', investor, count(*) FROM edges GROUP BY 2),
     sfull AS (SELECT n.side, n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN sdeg d ON d.side = n.side AND d.id = n.id),
     gi AS (SELECT side, sum((2 * r - n - 1) * degree)::DOUBLE / (max(n) * sum(degree)) AS gini FROM (SELECT side, degree, row_number() OVER (PARTITION BY side ORDER BY degree) AS r, count(*) OVER (PARTITION BY side) AS n FROM sfull) GROUP BY 1),
+    ie AS (SELECT DISTINCT a.investor AS x, b.investor AS y FROM edges a JOIN edges b ON a.company = b.company AND a.investor <> b.investor),
+    idg AS (SELECT x, count(*) AS degree FROM ie GROUP BY 1),
     m AS (SELECT (SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM part) * (SELECT count(*) FROM customer)) AS density, (SELECT max(gini) FROM gi) AS max_gini,
-      (SELECT count(*) FILTER (degree = 0) * 100.0::DOUBLE / count(*) FROM sfull) AS isolated_pct, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(size) * 100.0::DOUBLE / sum(size) FROM sizes) AS largest)"""
+      (SELECT count(*) FILTER (degree = 0) * 100.0::DOUBLE / count(*) FROM sfull) AS isolated_pct, (SELECT count(*) FROM sizes) AS n_components, (SELECT max(size) * 100.0::DOUBLE / sum(size) FROM sizes) AS largest,
+      (SELECT CASE WHEN var_pop(a.degree) > 1e-12 THEN abs(corr(a.degree, b.degree)) ELSE 0 END FROM ie JOIN idg a ON a.x = ie.x JOIN idg b ON b.x = ie.y) AS alike)"""
 
 
 @query(
     "g21_health_score",
     "WITH RECURSIVE " + ",\n".join([INV, EDGES, NODES, _HEALTH_CC])
-    + """ SELECT round(density, 8) AS density, round(max_gini, 6) AS max_gini, round(isolated_pct, 6) AS isolated_pct, n_components, greatest(0, 100
+    + """ SELECT round(density, 8) AS density, round(max_gini, 6) AS max_gini, round(isolated_pct, 6) AS isolated_pct, n_components, round(alike, 6) AS abs_assortativity_investors, greatest(0, 100
       - CASE WHEN density < 0.0001 THEN 40 WHEN density < 0.001 THEN 20 WHEN density < 0.01 THEN 10 ELSE 0 END
       - CASE WHEN max_gini > 0.8 THEN 30 WHEN max_gini > 0.6 THEN 15 ELSE 0 END
       - CASE WHEN density < 0.01 THEN 25 WHEN density < 0.05 THEN 10 ELSE 0 END
@@ -291,7 +294,7 @@ _HEALTH_CC = COMPONENTS + """,
 )
 def g21(spark, d):
     got = diagnostics.health_score(diagnostics.health_metrics(inputs.edges(spark, d), fixtures.company_nodes(spark, d)))
-    return got.select(F.round("density", 8).alias("density"), F.round("max_gini", 6).alias("max_gini"), F.round("isolated_pct", 6).alias("isolated_pct"), "n_components", "health_score")
+    return got.select(F.round("density", 8).alias("density"), F.round("max_gini", 6).alias("max_gini"), F.round("isolated_pct", 6).alias("isolated_pct"), "n_components", F.round("abs_assortativity_investors", 6).alias("abs_assortativity_investors"), "health_score")
 
 
 @query(
@@ -301,7 +304,8 @@ def g21(spark, d):
       UNION ALL SELECT CASE WHEN max_gini > 0.8 THEN 'extreme inequality' WHEN max_gini > 0.6 THEN 'strong inequality' END, CASE WHEN max_gini > 0.8 THEN 'problem' ELSE 'warning' END FROM m
       UNION ALL SELECT CASE WHEN density < 0.01 THEN 'extreme imbalance' WHEN density < 0.05 THEN 'strong imbalance' END, CASE WHEN density < 0.01 THEN 'problem' ELSE 'warning' END FROM m
       UNION ALL SELECT CASE WHEN isolated_pct > 20 THEN 'cold start' WHEN isolated_pct > 10 THEN 'many isolated nodes' END, CASE WHEN isolated_pct > 20 THEN 'problem' ELSE 'warning' END FROM m
-      UNION ALL SELECT CASE WHEN n_components > 1 AND largest < 80 THEN 'fragmented graph' END, 'warning' FROM m)
+      UNION ALL SELECT CASE WHEN n_components > 1 AND largest < 80 THEN 'fragmented graph' END, 'warning' FROM m
+      UNION ALL SELECT CASE WHEN alike > 0.4 THEN 'strong investor assortativity' END, 'warning' FROM m)
     SELECT DISTINCT level, finding FROM f WHERE finding IS NOT NULL""",
 )
 def g21b(spark, d):

@@ -168,7 +168,7 @@ def m9(spark, d):
 
 _GROUPS = with_(
     INV, EDGES, INTER, POOL,
-    f"draws AS MATERIALIZED (SELECT i.idx, i.company, {sql_draw(13, 'i.idx', 's.slot')} % c.n AS place FROM inter i, (SELECT unnest(range(0, 20)) AS slot) s, (SELECT count(*) AS n FROM pool) c)",
+    f"draws AS MATERIALIZED (SELECT i.idx, i.company, {sql_draw(13, 'i.idx', 's.slot')} % c.n AS place FROM inter i, (SELECT unnest(range(0, 100)) AS slot) s, (SELECT count(*) AS n FROM pool) c)",
     f"""grp AS MATERIALIZED (SELECT idx, 1.0::DOUBLE AS label, round({sql_uniform(14, 'company', 'investor')}, 6) AS score FROM inter
       UNION ALL SELECT d.idx, 0.0, round({sql_uniform(14, 'd.company', 'p.negative')}, 6) FROM draws d JOIN pool p ON p.place = d.place)""",
     "best AS (SELECT idx, max(score) AS best FROM grp WHERE label > 0 GROUP BY 1)",
@@ -179,7 +179,7 @@ _GROUPS = with_(
 def _groups(spark, d):
     x = inputs.interactions(spark, d).select("idx", "company", "investor")
     pool = negatives.destinations(x, "investor")
-    neg = negatives.random_negatives(x.select("idx", "company"), pool, "investor", 20, 13)
+    neg = negatives.random_negatives(x.select("idx", "company"), pool, "investor", 100, 13)
     rows = x.select("idx", "company", "investor", F.lit(1.0).alias("label")).unionByName(neg.select("idx", "company", F.col("negative").alias("investor"), F.lit(0.0).alias("label")))
     return rows.select("idx", "label", F.round(draw_uniform(14, "company", "investor"), 6).alias("score"))
 

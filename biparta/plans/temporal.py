@@ -102,7 +102,7 @@ def _adjacency(spark, d):
     return neighbors.temporal_adjacency(inputs.interactions(spark, d), "raised", "n_rounds")
 
 
-def _recent(spark, d, k=3):
+def _recent(spark, d, k=10):
     adj = _adjacency(spark, d)
     queries = adj.select("side", "id", "ts", "idx")
     return adj, queries, neighbors.NeighborIndex(adj).recent(queries, k)
@@ -113,19 +113,19 @@ def t8(spark, d):
     return _adjacency(spark, d).select("side", "id", "other", "ts", "idx")
 
 
-@query("w6_recent_neighbors", _NEAR + "SELECT side, id, idx, slot, neighbor, neighbor_ts FROM past WHERE slot < 3")
+@query("w6_recent_neighbors", _NEAR + "SELECT side, id, idx, slot, neighbor, neighbor_ts FROM past WHERE slot < 10")
 def w6(spark, d):
     return _recent(spark, d)[2].select("side", "id", "idx", F.col("slot").cast("bigint"), "neighbor", "neighbor_ts")
 
 
 @query(
     "w7_uniform_neighbors",
-    _NEAR + f"""SELECT a.side, a.id, a.idx, k.slot, p.neighbor, p.neighbor_ts FROM (SELECT DISTINCT side, id, idx, ts, n FROM past) a, (SELECT unnest(range(0, 3)) AS slot) k, past p
+    _NEAR + f"""SELECT a.side, a.id, a.idx, k.slot, p.neighbor, p.neighbor_ts FROM (SELECT DISTINCT side, id, idx, ts, n FROM past) a, (SELECT unnest(range(0, 10)) AS slot) k, past p
     WHERE p.side = a.side AND p.id = a.id AND p.idx = a.idx AND p.slot = {sql_draw(3, 'a.side', 'a.id', 'CAST(a.ts AS BIGINT)', 'k.slot')} % a.n""",
 )
 def w7(spark, d):
     adj = _adjacency(spark, d)
-    got = neighbors.NeighborIndex(adj).uniform(adj.select("side", "id", "ts", "idx"), 3, seed=3)
+    got = neighbors.NeighborIndex(adj).uniform(adj.select("side", "id", "ts", "idx"), 10, seed=3)
     return got.select("side", "id", "idx", F.col("slot").cast("bigint"), "neighbor", "neighbor_ts")
 
 
@@ -135,16 +135,16 @@ def w7(spark, d):
         INV, EDGES, INTER, ADJ,
         "q AS (SELECT DISTINCT side, id, ts FROM adj)",
         """h1 AS (SELECT q.side AS root_side, q.id AS root, q.ts, e.other AS neighbor, row_number() OVER (PARTITION BY q.side, q.id, q.ts ORDER BY e.ts DESC, e.idx DESC) - 1 AS slot
-          FROM q JOIN adj e ON e.side = q.side AND e.id = q.id AND e.ts < q.ts QUALIFY slot < 2)""",
+          FROM q JOIN adj e ON e.side = q.side AND e.id = q.id AND e.ts < q.ts QUALIFY slot < 10)""",
         """h2 AS (SELECT h.root_side, h.root, h.ts, h.slot AS s1, e.other AS neighbor, row_number() OVER (PARTITION BY h.root_side, h.root, h.ts, h.slot ORDER BY e.ts DESC, e.idx DESC) - 1 AS s2
-          FROM h1 h JOIN adj e ON e.side <> h.root_side AND e.id = h.neighbor AND e.ts < h.ts QUALIFY s2 < 2)""",
+          FROM h1 h JOIN adj e ON e.side <> h.root_side AND e.id = h.neighbor AND e.ts < h.ts QUALIFY s2 < 10)""",
     )
     + """SELECT root_side, root, ts, 1::BIGINT AS hop, count(*) AS n, sum(neighbor)::BIGINT AS total FROM h1 GROUP BY 1, 2, 3
     UNION ALL SELECT root_side, root, ts, 2, count(*), sum(neighbor)::BIGINT FROM h2 GROUP BY 1, 2, 3""",
 )
 def t9(spark, d):
     adj = _adjacency(spark, d)
-    got = neighbors.NeighborIndex(adj).hops(adj.select("side", "id", "ts").distinct(), 2, 2)
+    got = neighbors.NeighborIndex(adj).hops(adj.select("side", "id", "ts").distinct(), 10, 2)
     return got.groupBy("root_side", "root", "ts", F.col("hop").cast("bigint").alias("hop")).agg(F.count(F.lit(1)).alias("n"), F.sum("neighbor").alias("total"))
 
 
@@ -152,7 +152,7 @@ def t9(spark, d):
     "t10_sum_pooling",
     _NEAR
     + """SELECT side, id, idx, round(greatest(sum(ln(1 + raised)), 0), 6) AS v0, greatest(sum(n_rounds), 0)::DOUBLE AS v1, round(greatest(sum(cos((ts - neighbor_ts) * pow(10, -0.0))), 0), 5) AS v2,
-    round(greatest(sum(cos((ts - neighbor_ts) * pow(10, -9.0))), 0), 5) AS v3 FROM past WHERE slot < 3 GROUP BY 1, 2, 3""",
+    round(greatest(sum(cos((ts - neighbor_ts) * pow(10, -9.0))), 0), 5) AS v3 FROM past WHERE slot < 10 GROUP BY 1, 2, 3""",
 )
 def t10(spark, d):
     _, _, near = _recent(spark, d)
@@ -165,7 +165,7 @@ def t10(spark, d):
 @query(
     "t11_attention_pooling",
     _NEAR
-    + """, l AS (SELECT *, (ln(1 + raised) / 10 * 0.5 + (ts - neighbor_ts) / 1e9 * 1.5) / sqrt(2.0) AS lg FROM past WHERE slot < 3),
+    + """, l AS (SELECT *, (ln(1 + raised) / 10 * 0.5 + (ts - neighbor_ts) / 1e9 * 1.5) / sqrt(2.0) AS lg FROM past WHERE slot < 10),
     e AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY side, id, idx)) AS x FROM l),
     p AS (SELECT side, id, idx, sum(x * ln(1 + raised)) / sum(x) AS v0, sum(x * n_rounds) / sum(x) AS v1 FROM e GROUP BY 1, 2, 3)
     SELECT a.side, a.id, a.idx, round(coalesce(v0, 0.0), 6) AS v0, round(coalesce(v1, 0.0), 6) AS v1 FROM adj a LEFT JOIN p ON p.side = a.side AND p.id = a.id AND p.idx = a.idx""",
@@ -323,12 +323,12 @@ def n1(spark, d):
 
 @query(
     "n2_negatives_per_positive",
-    with_(INV, EDGES, INTER, POOL, f"draws AS MATERIALIZED (SELECT i.idx, {sql_draw(12, 'i.idx', 's.slot')} % c.n AS place FROM inter i, (SELECT unnest(range(0, 20)) AS slot) s, (SELECT count(*) AS n FROM pool) c)")
+    with_(INV, EDGES, INTER, POOL, f"draws AS MATERIALIZED (SELECT i.idx, {sql_draw(12, 'i.idx', 's.slot')} % c.n AS place FROM inter i, (SELECT unnest(range(0, 100)) AS slot) s, (SELECT count(*) AS n FROM pool) c)")
     + "SELECT idx, count(*) AS n, sum(negative)::BIGINT AS total, count(DISTINCT negative) AS distinct_n FROM draws JOIN pool USING (place) GROUP BY 1",
 )
 def n2(spark, d):
     x = inputs.interactions(spark, d)
-    got = negatives.random_negatives(x.select("idx"), negatives.destinations(x, "investor"), "investor", 20, 12)
+    got = negatives.random_negatives(x.select("idx"), negatives.destinations(x, "investor"), "investor", 100, 12)
     return got.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum("negative").alias("total"), F.count_distinct("negative").alias("distinct_n"))
 
 
