@@ -10,7 +10,11 @@ from biparta.functions.vectors import dot
 from biparta.operators.graph import COMPANY, INVESTOR
 from biparta.operators.history import as_of
 from biparta.operators.ordering import global_rank
-from biparta.session import materialize
+from biparta.session import materialize, shuffle_width
+
+# Destinations of a block, and queries of a part, that meet in one task.
+DESTINATIONS = 512
+QUERIES = 1000
 
 
 def destinations(events: DataFrame, col: str) -> DataFrame:
@@ -92,61 +96,91 @@ def plausible_negatives(queries: DataFrame, events: DataFrame, k: int, seed: int
     return done.drop("turn")
 
 
-def candidate_draws(queries: DataFrame, pool: DataFrame, col: str, m: int, seed: int = 0, key: str = "idx") -> DataFrame:
-    """m distinct candidates per query (all of the pool when m reaches its size)."""
-    size = pool.count()
-    prime = smallest_prime_from(max(size, 3))
-    step, offset = _walk(seed, F.col(key), prime)
-    # places from size up to the prime are empty: walk past them so that m real ones are met
-    turns = min(m + prime - size, prime)
-    drawn = queries.withColumn("__step", step).withColumn("__offset", offset)
-    drawn = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    drawn = drawn.withColumn("place", F.pmod(F.col("__step") * F.col("turn") + F.col("__offset"), F.lit(prime)))
-    met = drawn.join(pool.withColumnRenamed(col, "negative"), "place")
-    met = met.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("turn"))).filter(F.col("__n") <= m)
-    return met.drop("__step", "__offset", "place", "__n", "turn")
+def _blocks_of_destinations(embeddings: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """``__block, id, vec`` in id order, ``block`` destinations a block, and the number of blocks."""
+    placed = global_rank(embeddings.filter(F.col("vec").isNotNull()).select("id", "vec"), [F.col("id").asc()], "place", start=0)
+    placed = materialize(placed.select("id", "vec", F.floor(F.col("place") / block).cast("int").alias("__block")), "destinations")
+    return placed, placed.agg(F.coalesce(F.max("__block") + 1, F.lit(0)).alias("n")).first()["n"]
+
+
+def _free_at(asked: DataFrame, ids: DataFrame, slots: DataFrame, key: str) -> DataFrame:
+    """The destination at position ``__at`` among the query's free ones, in id order.
+
+    Counts of free destinations per block name the block; only there are they listed.
+    """
+    free = asked.join(ids.select("__block", F.size("ids").alias("__size")), "__block").withColumn("__free", F.col("__size") - F.size("__taken"))
+    upto = F.sum("__free").over(Window.partitionBy(key).orderBy("__block"))
+    free = free.withColumn("__low", upto - F.col("__free")).select(key, "__block", "__taken", "__free", "__low")
+    at = slots.join(free, key).filter((F.col("__at") >= F.col("__low")) & (F.col("__at") < F.col("__low") + F.col("__free")))
+    at = at.join(ids, "__block").withColumn("negative", F.array_except("ids", "__taken")[(F.col("__at") - F.col("__low")).cast("int")])
+    return at.select(key, "slot", "negative")
 
 
 def hard_negatives(
-    candidates: DataFrame,
+    queries: DataFrame,
     embeddings: DataFrame,
     n_negatives: int,
+    known: DataFrame,
+    source: str,
     ratio: float = 0.5,
     temperature: float = 0.1,
     top_k: int | None = None,
     seed: int = 0,
     key: str = "idx",
     positive: str = "positive",
+    block: int = DESTINATIONS,
 ) -> DataFrame:
-    """Hard and random negatives among each query's candidates ``(key, positive, negative)``.
+    """Hard and random negatives of each query ``(key, source, positive)`` among all destinations its source is not linked to.
 
     The hard part, ``int(n * ratio)`` rows, is drawn without replacement with probability
     proportional to softmax(similarity / temperature): the largest values of
     similarity / temperature + Gumbel noise. ``top_k`` first keeps the most similar
-    candidates. The rest is drawn uniformly with replacement.
-    ``embeddings(id, vec)``; candidates must not contain true connections.
+    destinations. The rest is drawn uniformly with replacement.
+    ``embeddings(id, vec)`` lists the destinations, ``known(source, negative)`` the links.
+    Destinations without a vector take no part, nor do queries whose positive has none.
+
+    A part of the queries meets a block of destinations in one task, and of their pairs
+    only the best of each query leave it.
     """
     n_hard = int(n_negatives * ratio)
-    pos = embeddings.select(F.col("id").alias(positive), F.col("vec").alias("__p"))
-    neg = embeddings.select(F.col("id").alias("negative"), F.col("vec").alias("__n"))
-    scored = candidates.join(pos, positive).join(neg, "negative").withColumn("similarity", dot(F.col("__p"), F.col("__n"))).drop("__p", "__n")
-    by_similarity = Window.partitionBy(key).orderBy(F.round("similarity", 9).desc(), F.col("negative").asc())
-    pool = scored
+    placed, blocks = _blocks_of_destinations(embeddings, block)
+    boxes = placed.groupBy("__block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("items"))
+    links = known.select(source, F.col("negative").alias("id")).distinct()
+    taken = links.join(placed.select("id", "__block"), "id").groupBy(source, "__block").agg(F.collect_list("id").alias("__taken"))
+    vec = placed.select(F.col("id").alias(positive), F.col("vec").alias("__p"))
+    asked = queries.select(key, source, positive).join(vec.select(positive), positive, "left_semi")
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("__block")).join(taken, [source, "__block"], "left")
+    none = F.array().cast(taken.schema["__taken"].dataType)
+    asked = materialize(asked.withColumn("__taken", F.coalesce("__taken", none)).drop(source), "asked")
+
+    parts = max(1, -(-queries.count() // QUERIES))
+    left = asked.join(vec, positive).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    left = left.repartition(shuffle_width(queries.sparkSession), "__part", "__block")
+    right = boxes.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+
+    noisy = lambda sim, other: F.round(sim / temperature + gumbel(seed, key, other), 9)
+    merit = (lambda sim, other: F.round(sim, 9)) if top_k is not None else noisy
+    keep = n_hard if top_k is None else top_k
+    free = F.filter("items", lambda x: ~F.array_contains("__taken", x["id"]))
+    scored = F.transform(free, lambda x: F.struct(x["id"].alias("id"), dot(F.col("__p"), x["vec"]).alias("sim")))
+    ranked = F.array_sort(F.transform(scored, lambda x: F.struct((-merit(x["sim"], x["id"])).alias("m"), x["id"].alias("id"), x["sim"].alias("sim"))))
+    best = left.join(right, ["__part", "__block"]).select(key, F.explode(F.slice(ranked, 1, max(keep, 1))).alias("b")).select(key, "b.*")
+    order = Window.partitionBy(key).orderBy("m", "id")
+    pool = best.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep)
     if top_k is not None:
-        pool = scored.withColumn("__r", F.row_number().over(by_similarity)).filter(F.col("__r") <= top_k).drop("__r")
-    noisy = F.round(F.col("similarity") / temperature + gumbel(seed, key, "negative"), 9)
-    turns = Window.partitionBy(key).orderBy(F.col("__g").desc(), F.col("negative").asc())
-    hard = pool.withColumn("__g", noisy).withColumn("slot", F.row_number().over(turns) - 1).filter(F.col("slot") < n_hard).drop("__g")
-    hard = hard.withColumn("kind", F.lit("hard"))
-    # random part: a position among the query's own candidates for each open slot
-    order = Window.partitionBy(key).orderBy("negative")
-    listed = scored.withColumn("__place", F.row_number().over(order) - 1)
-    counts = scored.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
+        pool = pool.withColumn("m", -noisy(F.col("sim"), F.col("id")))
+    hard = pool.withColumn("slot", F.row_number().over(order) - 1).filter(F.col("slot") < n_hard)
+    hard = hard.select(key, "slot", F.col("id").alias("negative"), F.col("sim").alias("similarity"), F.lit("hard").alias("kind"))
+
+    ids = boxes.select("__block", F.transform("items", lambda x: x["id"]).alias("ids"))
+    counts = asked.join(ids.select("__block", F.size("ids").alias("n")), "__block").groupBy(key).agg(F.sum(F.col("n") - F.size("__taken")).alias("__size"))
     start = F.least(F.lit(n_hard), F.col("__size")).cast("int")
-    slots = counts.filter(start < n_negatives).select(key, "__size", F.explode(F.sequence(start, F.lit(n_negatives - 1))).alias("slot"))
-    slots = slots.withColumn("__place", F.pmod(draw_int(seed, key, "slot", F.lit("r")), F.col("__size")))
-    rand = slots.join(listed, [key, "__place"]).drop("__size", "__place").withColumn("kind", F.lit("random"))
-    return hard.unionByName(rand.select(*hard.columns))
+    slots = counts.filter((F.col("__size") > 0) & (start < n_negatives)).select(key, "__size", F.explode(F.sequence(start, F.lit(n_negatives - 1))).alias("slot"))
+    slots = slots.select(key, "slot", F.pmod(draw_int(seed, key, "slot", F.lit("r")), F.col("__size")).alias("__at"))
+    rand = _free_at(asked, ids, slots, key).join(queries.select(key, positive), key).join(vec, positive)
+    rand = rand.join(placed.select(F.col("id").alias("negative"), "vec"), "negative")
+    rand = rand.select(key, "slot", "negative", dot(F.col("__p"), F.col("vec")).alias("similarity"), F.lit("random").alias("kind"))
+    return hard.unionByName(rand)
 
 
 def bernoulli_edges(scores: DataFrame, samples: int, seed: int = 0, p: str = "p") -> DataFrame:
@@ -165,7 +199,6 @@ def funded_before(queries: DataFrame, events: DataFrame, time: str = "ts") -> Da
 __all__ = [
     "as_of",
     "bernoulli_edges",
-    "candidate_draws",
     "destinations",
     "funded_before",
     "hard_negatives",

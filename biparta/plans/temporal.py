@@ -354,20 +354,17 @@ def n3(spark, d):
     return negatives.plausible_negatives(x, x, 2, seed=4).select("idx", "investor", "positive", "negative", "slot")
 
 
-_POOL32 = f"""ev AS (SELECT event_id AS idx, user_id, event_id % (SELECT count(*) FROM embeddings) AS positive FROM events),
-  vpool AS (SELECT vec_id AS negative, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings),
+_ALL_FREE = """ev AS (SELECT event_id AS idx, user_id, event_id % (SELECT count(*) FROM embeddings) AS positive FROM events),
   known AS (SELECT DISTINCT user_id, positive AS negative FROM ev),
-  pr AS (SELECT count(*) AS n, {_prime('(SELECT count(*) FROM vpool)')} AS p FROM vpool),
-  walk AS (SELECT idx, user_id, positive, p, n, {sql_draw(6, 'idx', chr(39) + 'step' + chr(39))} % (p - 1) + 1 AS step, {sql_draw(6, 'idx', chr(39) + 'offset' + chr(39))} % p AS off FROM ev, pr),
-  met AS (SELECT w.idx, w.user_id, w.positive, v.negative, row_number() OVER (PARTITION BY w.idx ORDER BY turn) AS r FROM walk w, (SELECT unnest(range(0, 700)) AS turn) k JOIN vpool v ON v.place = (w.step * turn + w.off) % w.p
-    WHERE turn < least(32 + w.p - w.n, w.p)),
-  cand AS (SELECT idx, positive, negative FROM met m WHERE r <= 32 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.user_id = m.user_id AND k.negative = m.negative)),
-  scored AS (SELECT c.*, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM cand c JOIN embeddings a ON a.vec_id = c.positive JOIN embeddings b ON b.vec_id = c.negative)"""
+  sims AS MATERIALIZED (SELECT a.vec_id AS positive, b.vec_id AS negative, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+    FROM embeddings a, embeddings b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
+  scored AS MATERIALIZED (SELECT e.idx, s.positive, s.negative, s.sim FROM ev e JOIN sims s USING (positive)
+    WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.user_id = e.user_id AND k.negative = s.negative))"""
 
 
 def _hard_sql(pool: str, seed: int) -> str:
     return with_(
-        _POOL32,
+        _ALL_FREE,
         f"base AS ({pool})",
         f"hard AS (SELECT idx, negative, sim, row_number() OVER (PARTITION BY idx ORDER BY round(sim / 0.1 + {sql_gumbel(seed, 'idx', 'negative')}, 9) DESC, negative) - 1 AS slot FROM base QUALIFY slot < 2)",
         "listed AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY negative) - 1 AS place, count(*) OVER (PARTITION BY idx) AS size FROM scored)",
@@ -379,11 +376,8 @@ def _hard(spark, d, top_k, seed):
     emb = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     n = emb.agg(F.count(F.lit(1)).alias("n")).scalar()
     ev = fixtures.node_events(spark, d).select("idx", F.col("id").alias("user_id"), (F.col("idx") % n).alias("positive"))
-    pool = negatives.destinations(emb, "id")
-    cand = negatives.candidate_draws(ev, pool, "id", 32, seed=6)
-    known = ev.select("user_id", F.col("positive").alias("negative")).distinct()
-    cand = cand.join(known, ["user_id", "negative"], "left_anti").select("idx", "positive", "negative")
-    got = negatives.hard_negatives(cand, emb, 4, ratio=0.5, temperature=0.1, top_k=top_k, seed=seed)
+    known = ev.select("user_id", F.col("positive").alias("negative"))
+    got = negatives.hard_negatives(ev, emb, 4, known, "user_id", ratio=0.5, temperature=0.1, top_k=top_k, seed=seed)
     return got.select("idx", "kind", F.col("slot").cast("bigint"), "negative", F.round("similarity", 5).alias("similarity"))
 
 

@@ -96,19 +96,27 @@ def test_plausible_negatives_fill_every_slot(spark):
             assert set(got[i]) == {37, 38, 39}
 
 
-def test_candidates_are_distinct_and_complete(spark):
-    q = spark.range(5).select(F.col("id").alias("idx"))
-    pool = negatives.destinations(spark.range(10).select(F.col("id").alias("v")), "v")
-    got = negatives.candidate_draws(q, pool, "v", 10).groupBy("idx").agg(F.count_distinct("negative").alias("n"), F.count("negative").alias("m")).collect()
-    assert all(r["n"] == r["m"] == 10 for r in got)
-
-
 def test_hard_negatives_prefer_similar(spark):
-    emb = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 0.0] if i <= 5 else [-1.0, 0.0]) for i in range(1, 41)], "id int, vec array<double>")
-    cand = spark.range(50).select(F.col("id").alias("idx"), F.lit(0).alias("positive"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("negative"))
-    hard = negatives.hard_negatives(cand, emb, 4, ratio=0.5, temperature=0.1).filter("kind = 'hard'").collect()
-    assert len(hard) == 100
-    assert all(r["negative"] <= 5 for r in hard)
+    emb = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 0.0] if i <= 5 else [-1.0, 0.0]) for i in range(1, 41)] + [(41, None)], "id int, vec array<double>")
+    queries = spark.range(50).select(F.col("id").alias("idx"), (F.col("id") % 2).alias("who"), F.lit(0).alias("positive"))
+    known = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (1, 40), (1, 40)], "who long, negative int")
+    for top_k in (None, 3):
+        per_block = [sorted(negatives.hard_negatives(queries, emb, 4, known, "who", top_k=top_k, block=b).collect()) for b in (7, 512)]
+        assert per_block[0] == per_block[1]
+        hard = [r for r in per_block[0] if r["kind"] == "hard"]
+        assert len(hard) == 100 and len(per_block[0]) == 200
+        assert all(1 <= r["negative"] <= 5 for r in hard)
+        assert not any(r["idx"] % 2 and r["negative"] in (0, 1, 40) for r in per_block[0])
+        assert not any(r["negative"] in (0, 41) for r in per_block[0])
+
+
+def test_hard_negatives_of_a_source_linked_to_all(spark):
+    emb = spark.createDataFrame([(i, [1.0]) for i in range(3)], "id int, vec array<double>")
+    queries = spark.createDataFrame([(0, 7, 0), (1, 8, 1)], "idx int, who int, positive int")
+    known = spark.createDataFrame([(7, 0), (7, 1), (7, 2), (8, 0), (8, 1)], "who int, negative int")
+    got = negatives.hard_negatives(queries, emb, 4, known, "who", block=2).collect()
+    assert {(r["idx"], r["negative"]) for r in got} == {(1, 2)}
+    assert sorted((r["slot"], r["kind"]) for r in got) == [(0, "hard"), (1, "random"), (2, "random"), (3, "random")]
 
 
 def _union_find(pairs):
