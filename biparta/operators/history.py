@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biparta.operators.ordering import range_bucket, split_points
-from biparta.session import shuffle_width
+from biparta.session import materialize
 
-# Time buckets per lookup: as many as shuffle partitions, within these bounds.
-MIN_BUCKETS, MAX_BUCKETS = 32, 256
+# Time buckets per lookup: enough that the hottest key has about so many rows in each, and no fewer than the least.
+MIN_BUCKETS, BUCKET_ROWS = 32, 1_000_000
 
 
 def as_of(
@@ -34,9 +34,12 @@ def as_of(
     with the time, which gives "the latest value of".
     """
     sums, maxes = sums or {}, maxes or {}
-    buckets = buckets or min(MAX_BUCKETS, max(MIN_BUCKETS, shuffle_width(events.sparkSession)))
     group = [*keys, time]
     daily = events.groupBy(*group).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in maxes.items()])
+    daily = materialize(daily, "daily")
+    if buckets is None:
+        hottest = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        buckets = max(MIN_BUCKETS, -(-hottest // BUCKET_ROWS))
     types = {f.name: f.dataType for f in daily.schema.fields}
     asked = queries.select(*group).distinct()
     event_turn, query_turn = (0, 1) if inclusive else (1, 0)

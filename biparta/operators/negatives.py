@@ -15,6 +15,8 @@ from biparta.session import materialize, shuffle_width
 # Destinations of a block, and queries of a part, that meet in one task.
 DESTINATIONS = 512
 QUERIES = 1000
+# Turns of a walk that are listed at once.
+TURNS = 1000
 
 
 def destinations(events: DataFrame, col: str) -> DataFrame:
@@ -59,6 +61,19 @@ def _walk(seed: int, key: Column, prime: int) -> tuple[Column, Column]:
     return step, offset
 
 
+def _turns(walk: DataFrame, low: int, high: int) -> DataFrame:
+    """Every row with each ``turn`` from low to high - 1; no list in a row grows with the number of turns by more than a part of TURNS."""
+    first = walk.select("*", F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(TURNS))).alias("__first"))
+    last = F.least(F.col("__first") + TURNS, F.lit(high)) - 1
+    return first.select("*", F.explode(F.sequence("__first", last)).alias("turn")).drop("__first")
+
+
+def _place(prime: int) -> Column:
+    """Place of a turn of the walk; products beyond a long are taken as decimals, which changes no value."""
+    wide = "bigint" if prime < 1 << 31 else "decimal(19,0)"
+    return F.pmod(F.col("__step").cast(wide) * F.col("turn").cast(wide) + F.col("__offset"), F.lit(prime)).cast("bigint")
+
+
 def plausible_negatives(queries: DataFrame, events: DataFrame, k: int, seed: int = 0, key: str = "idx", time: str = "ts") -> DataFrame:
     """k companies per query that its investor has not funded up to the query time, without replacement.
 
@@ -78,8 +93,7 @@ def plausible_negatives(queries: DataFrame, events: DataFrame, k: int, seed: int
     low, width = 0, 2 * k
     while low < prime:
         high = min(low + width, prime)
-        tries = walk.select("*", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("turn"))
-        tries = tries.withColumn("place", F.pmod(F.col("__step") * F.col("turn") + F.col("__offset"), F.lit(prime)))
+        tries = _turns(walk, low, high).withColumn("place", _place(prime))
         drawn = tries.join(pool, "place").filter(F.col(COMPANY) != F.col("positive"))
         taken = F.col("first_ts") <= F.col(time)
         free = drawn.join(first, [COMPANY, INVESTOR], "left").filter(~F.coalesce(taken, F.lit(False)))

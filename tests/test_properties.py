@@ -110,6 +110,20 @@ def test_hard_negatives_prefer_similar(spark):
         assert not any(r["negative"] in (0, 41) for r in per_block[0])
 
 
+def test_long_walks_are_listed_in_parts(spark):
+    rows = spark.range(2).withColumns({"__step": F.lit(3_999_999_000), "__offset": F.lit(5)})
+    got = negatives._turns(rows, 3_999_990_000, 3_999_992_500).withColumn("place", negatives._place(4_000_000_007)).collect()
+    assert sorted((r["id"], r["turn"]) for r in got) == [(i, t) for i in range(2) for t in range(3_999_990_000, 3_999_992_500)]
+    assert all(r["place"] == (3_999_999_000 * r["turn"] + 5) % 4_000_000_007 for r in got)
+
+
+def test_as_of_cuts_hot_keys_by_their_rows(spark, monkeypatch):
+    events = spark.range(200).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("ts"))
+    monkeypatch.setattr(history, "BUCKET_ROWS", 3)
+    got = history.as_of(events, events, ["k"], sums={"n": F.lit(1)}).collect()
+    assert sorted((r["ts"], r["n"]) for r in got) == [(float(i), i) for i in range(200)]
+
+
 def test_hard_negatives_of_a_source_linked_to_all(spark):
     emb = spark.createDataFrame([(i, [1.0]) for i in range(3)], "id int, vec array<double>")
     queries = spark.createDataFrame([(0, 7, 0), (1, 8, 1)], "idx int, who int, positive int")
