@@ -297,3 +297,13 @@ def test_only_one_process_may_use_its_own_folder():
 
     assert is_local("local") and is_local("local[8]") and is_local("local[*]")
     assert not any(is_local(m) for m in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x"))
+
+
+def test_metric_logs_keep_their_first_line(spark, tmp_path):
+    from biparta.sources import readers
+
+    for run, text in (("one", "AP: 0.5\nnoise\nMRR = 3\n"), ("two", "AP: 0.1\nAP: 0.2\n"), ("three", "noise\n")):
+        (tmp_path / f"run={run}").mkdir()
+        (tmp_path / f"run={run}" / "log.txt").write_text(text)
+    got = readers.scan_metric_logs(spark, str(tmp_path), {"ap": r"AP: ([0-9.]+)", "mrr": r"MRR = ([0-9]+)"}, r"run=([^/]+)/").collect()
+    assert {r.run: (r.ap, r.mrr) for r in got} == {"one": (0.5, 3.0), "two": (0.2, None), "three": (None, None)}
