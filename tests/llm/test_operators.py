@@ -288,6 +288,17 @@ def test_ngram_join(spark, odd, none):
     assert J.near_copies(none).count() == 0
 
 
+def test_ngram_join_rows_without_id_hide_no_copy(spark):
+    """Equal texts of one batch: the one without id comes first, the one with an id still meets its near copy."""
+    text = " ".join(WORDS[:120])
+    rows = [(None, text), (3, text), (None, text), (5, text + " tail"), (8, " ".join(WORDS[200:300])), (9, text)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    posts = {r.doc_id: len(r.posts) for r in J.describe(df).filter("doc_id is not null or size(posts) > 0").collect()}
+    assert None not in posts and posts[3] > 0 and posts[9] == 0
+    assert {r.doc_id: r.component_id for r in J.near_copies(df).filter("doc_id is not null").collect()} == {3: 3, 5: 3, 8: 8, 9: 3}
+    assert sorted(r.doc_id or 0 for r in J.keep_first(df).collect()) == [0, 0, 3, 8]
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(6)
     for size in [*range(1, 40), 70, 130, 333, 900]:
