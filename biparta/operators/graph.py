@@ -28,17 +28,17 @@ def edge_rollup(investments: DataFrame, amount: str = "raised", time: str = "ts"
 
 
 def edge_rounds(investments: DataFrame, round_fields: list[str], key: str = "round_id") -> DataFrame:
-    """The rounds of each pair as sorted lists.
+    """The rounds of each pair as sorted lists: row ``chunk`` of a pair holds its rounds from place ``chunk * ROUNDS_PER_ROW`` on.
 
-    A pair with up to ``ROUNDS_PER_ROW`` rounds gives one row; a longer one is dealt
-    by hash over as many rows as it needs, so that no list grows without bound.
+    Rounds are placed by ``round_fields``, then ``key``. The rule is the same for pairs of
+    all sizes, and the places come from a global order, so a hot pair is not one task's work.
     """
-    sizes = investments.groupBy(COMPANY, INVESTOR).agg(F.count(F.lit(1)).alias("n_rounds"))
-    chunks = F.ceil(F.col("n_rounds") / F.lit(ROUNDS_PER_ROW))
-    dealt = investments.join(sizes, [COMPANY, INVESTOR]).withColumn(
-        "chunk", F.when(chunks > 1, F.pmod(F.xxhash64(key, *round_fields), chunks)).otherwise(F.lit(0)).cast("int")
-    )
-    return dealt.groupBy(COMPANY, INVESTOR, "chunk").agg(F.sort_array(F.collect_list(F.struct(*round_fields))).alias("rounds"))
+    named = investments.filter(F.col(COMPANY).isNotNull() & F.col(INVESTOR).isNotNull())
+    fields = list(dict.fromkeys([COMPANY, INVESTOR, *round_fields, key]))
+    order = [F.col(c).asc() for c in fields[2:]]
+    placed = global_rank(named.select(*fields), order, "__place", start=0, by=(COMPANY, INVESTOR))
+    chunk = F.floor(F.col("__place") / F.lit(ROUNDS_PER_ROW)).cast("int")
+    return placed.groupBy(COMPANY, INVESTOR, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(*round_fields))).alias("rounds"))
 
 
 def last_row_edges(investments: DataFrame, order: list[str], keep: list[str]) -> DataFrame:

@@ -235,6 +235,19 @@ def test_edge_rounds_are_complete_in_chunks(spark, monkeypatch):
     assert sorted((r["company"], x["round_id"]) for r in got for x in r["rounds"]) == sorted((r[0], r[3]) for r in rows)
 
 
+def test_edge_rounds_continue_in_time_order(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS_PER_ROW", 10)
+    sizes = {(1, 1): 95, (1, 2): 10, (2, 2): 11, (3, 1): 1}
+    rows = [(c, v, float(i * 7 % n // 2), i) for (c, v), n in sizes.items() for i in range(n)]
+    inv = spark.createDataFrame(rows, "company int, investor int, ts double, round_id int")
+    got = {(r["company"], r["investor"], r["chunk"]): [tuple(x) for x in r["rounds"]] for r in graph.edge_rounds(inv, ["ts", "round_id"]).collect()}
+    want = {}
+    for pair, n in sizes.items():
+        mine = sorted(r[2:] for r in rows if r[:2] == pair)
+        want |= {(*pair, at // 10): mine[at : at + 10] for at in range(0, n, 10)}
+    assert got == want
+
+
 def test_splits_partition_the_input(inv, rows):
     counts = Counter(r["split"] for r in splits.quantile_split(inv).collect())
     ts = sorted(r[2] for r in rows)
