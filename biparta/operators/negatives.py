@@ -197,9 +197,9 @@ def hard_negatives(
     return hard.unionByName(rand)
 
 
-def bernoulli_edges(scores: DataFrame, samples: int, seed: int = 0, p: str = "p") -> DataFrame:
-    """``samples`` random graphs: an edge is in a sample when its hash-uniform draw is below p."""
-    runs = scores.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_id"))
+def bernoulli_edges(scores: DataFrame, samples: int, seed: int = 0, p: str = "p", first: int = 0) -> DataFrame:
+    """``samples`` random graphs, numbered from ``first``: an edge is in a sample when its hash-uniform draw is below p."""
+    runs = scores.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_id"))
     return runs.filter(draw_uniform(seed, "sample_id", COMPANY, INVESTOR) < F.col(p))
 
 

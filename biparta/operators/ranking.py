@@ -163,6 +163,14 @@ def fixed_scores(edges: DataFrame, iterations: int, alpha=ALPHA, beta=BETA, weig
     return RankGraph(edges, alpha, beta, weight, tuple(by)).run(iterations)
 
 
+def scores_of(edges: DataFrame, iterations: int | None = None, alpha=ALPHA, beta=BETA, weight=None, by=()) -> DataFrame:
+    """``(by, side, id, score)``; without ``iterations`` each side of each run goes on until its order is stable."""
+    if iterations is not None:
+        return fixed_scores(edges, iterations, alpha, beta, weight, by)
+    scores, _ = converge(RankGraph(edges, alpha, beta, weight, tuple(by)))
+    return scores.select(*by, "side", "id", "score")
+
+
 def converge(
     graph: RankGraph,
     nodes: DataFrame | None = None,
@@ -292,17 +300,17 @@ def with_ground_truth(ranks: DataFrame, truth: DataFrame) -> DataFrame:
     return ranks.join(truth, ["side", "id"], "left")
 
 
-def parameter_sweep(edges: DataFrame, settings: list[tuple[float, float]], iterations: int, weight: str | None = None) -> DataFrame:
-    """Scores for several (alpha, beta) at once, keyed by ``param_id``."""
+def parameter_sweep(edges: DataFrame, settings: list[tuple[float, float]], iterations: int | None = None, weight: str | None = None) -> DataFrame:
+    """Scores for several (alpha, beta) at once, keyed by ``param_id``; without ``iterations`` until stable."""
     grid = F.explode(
         F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for i, (a, b) in enumerate(settings)])
     )
     runs = edges.select("*", grid.alias("g")).select(*edges.columns, "g.*")
-    return fixed_scores(runs, iterations, "alpha", "beta", weight, by=("param_id",))
+    return scores_of(runs, iterations, "alpha", "beta", weight, by=("param_id",))
 
 
-def threshold_sweep(scores: DataFrame, thresholds: list[float], iterations: int, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
-    """Scores of the thresholded graphs ``p >= t``, keyed by ``param_id``."""
+def threshold_sweep(scores: DataFrame, thresholds: list[float], iterations: int | None = None, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
+    """Scores of the thresholded graphs ``p >= t``, keyed by ``param_id``; without ``iterations`` until stable."""
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)]))
     runs = scores.select("*", grid.alias("g")).select(*scores.columns, "g.*").filter(F.col("p") >= F.col("threshold"))
-    return fixed_scores(runs, iterations, alpha, beta, by=("param_id",))
+    return scores_of(runs, iterations, alpha, beta, by=("param_id",))

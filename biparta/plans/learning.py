@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from biparta import fixtures
 from biparta.functions.hashing import draw_uniform
 from biparta.functions.numeric import sigmoid
-from biparta.operators import delta, features, graph, losses, metrics, negatives, ranking, reports, scoring
+from biparta.operators import delta, features, graph, losses, metrics, negatives, ordering, ranking, reports, scoring
 from biparta.plans import inputs
 from biparta.plans.graphs import _before_after
 from biparta.plans.ranks import iterations_sql, tagged
@@ -51,9 +51,13 @@ _FEATURES = [INV, EDGES, INTER, POOL, NEGS, ORGS, CATS, _LATE, _LATE_UNIQUE, *_f
 
 def _late_pairs(spark, d):
     """Pairs first met at or after AT, and as many random pairs, labelled."""
+    return _pairs_when(spark, d, F.col("ts") >= AT)
+
+
+def _pairs_when(spark, d, when):
     inter = inputs.interactions(spark, d)
-    late = inter.filter(F.col("ts") >= AT)
-    neg = inputs.negatives(inter).filter(F.col("ts") >= AT).select("company", F.col("negative").alias("investor"))
+    late = inter.filter(when)
+    neg = inputs.negatives(inter).filter(when).select("company", F.col("negative").alias("investor"))
     both = features.labelled_pairs(late.select("company", "investor"), neg)
     return both.groupBy("company", "investor").agg(F.max("label").alias("label"))
 
@@ -64,6 +68,14 @@ def _features(spark, d):
     return features.pair_features(_late_pairs(spark, d), events, inputs.categories(spark, d), AT)
 
 
+def _train_features(spark, d):
+    """The same rows one period earlier: pairs first met from the 0.7 quantile of the dates to AT, history before it."""
+    events = materialize(fixtures.investments(spark, d), "events")
+    since = ordering.exact_quantiles(events, "ts", [0.7]).first()["q0"]
+    pairs = _pairs_when(spark, d, (F.col("ts") >= since) & (F.col("ts") < AT))
+    return features.pair_features(pairs, events, inputs.categories(spark, d), since)
+
+
 _FEATURE_LIST = ", ".join(f"round({f}, 6) AS {f}" for f in features.FEATURES)
 
 
@@ -102,16 +114,16 @@ def m5(spark, d):
 
 @query("m6_forest_importances")
 def m6(spark, d):
-    """Importances of a random forest on the feature vector (20 trees here)."""
-    rows = materialize(_features(spark, d), "features")
-    return scoring.importances(scoring.fit_forest(rows, features.FEATURES, trees=20), features.FEATURES, spark)
+    """Importances of a random forest fitted on the train rows."""
+    rows = materialize(_train_features(spark, d), "features")
+    return scoring.importances(scoring.fit_forest(rows, features.FEATURES), features.FEATURES, spark)
 
 
 @query("m7_forest_scores")
 def m7(spark, d):
-    rows = materialize(_features(spark, d), "features")
-    model = scoring.fit_forest(rows, features.FEATURES, trees=20)
-    return scoring.score_pairs(rows, model, features.FEATURES).select("company", "investor", "label", "p")
+    """Later pairs scored by a forest that was fitted on the train rows."""
+    model = scoring.fit_forest(materialize(_train_features(spark, d), "features"), features.FEATURES)
+    return scoring.score_pairs(_features(spark, d), model, features.FEATURES).select("company", "investor", "label", "p")
 
 
 @query(
@@ -261,11 +273,11 @@ _TWO_RANKS = [*tagged(iterations_sql("pred", "1", "0.3", "-5", 3), "a"), *tagged
               "met2 AS MATERIALIZED (SELECT x.id, x.score AS sp, y.score AS st FROM a_result x JOIN b_result y ON x.side = 'company' AND y.side = 'company' AND x.id = y.id)"]
 
 
-def _two_ranks(spark, d):
+def _two_ranks(spark, d, iterations=3):
     pred = graph.scored_graph(inputs.scores(spark, d), 0.45)
     fut = _truth(spark, d).select("company", "investor")
-    a = materialize(ranking.fixed_scores(pred, 3).filter("side = 'company'"), "pred").select("id", F.round("score", 9).alias("score"))
-    b = materialize(ranking.fixed_scores(fut, 3).filter("side = 'company'"), "true").select("id", F.round("score", 9).alias("score"))
+    a = materialize(ranking.scores_of(pred, iterations).filter("side = 'company'"), "pred").select("id", F.round("score", 9).alias("score"))
+    b = materialize(ranking.scores_of(fut, iterations).filter("side = 'company'"), "true").select("id", F.round("score", 9).alias("score"))
     return a, b
 
 
@@ -289,6 +301,18 @@ def m13(spark, d):
     return overlap.withColumn("overlap_pct", F.round("overlap_pct", 4))
 
 
+@query("m17_validation_until_stable")
+def m17b(spark, d):
+    rho, _ = delta.rank_validation(*_two_ranks(spark, d, None))
+    return rho.select("n", F.round("spearman", 5).alias("spearman"))
+
+
+@query("m13_overlap_until_stable")
+def m13b(spark, d):
+    _, overlap = delta.rank_validation(*_two_ranks(spark, d, None))
+    return overlap.withColumn("overlap_pct", F.round("overlap_pct", 4))
+
+
 _DELTA = with_(
     INV,
     "ba AS (SELECT company AS id, (count(*) FILTER (ts <= 935193600) - 10)::DOUBLE / 100 AS s0, (count(*) FILTER (ts > 935193600) - 4)::DOUBLE / 100 AS s1 FROM inv GROUP BY 1)",

@@ -179,7 +179,16 @@ def r9(spark, d):
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 
+@query("r9_sweep_until_stable")
+def r9b(spark, d):
+    """The sweep of ``r9_parameter_sweep`` with the stop rule in place of three steps."""
+    got = ranking.parameter_sweep(inputs.edges(spark, d), _GRID)
+    return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
+
+
 _SAMPLES = 4
+# samples of the whole job; the SQL checks spell out the small one
+_ALL_SAMPLES = 500
 _MC = [
     INV, EDGES, INTER, POOL, NEGS, SCORES,
     f"runs AS (SELECT s.*, sample_id FROM scores s, (SELECT unnest(range(0, {_SAMPLES})) AS sample_id) k WHERE {sql_uniform(5, 'sample_id', 'company', 'investor')} < p)",
@@ -193,6 +202,13 @@ def n6(spark, d):
     return bernoulli_edges(inputs.scores(spark, d), _SAMPLES, 5).select(F.col("sample_id").cast("bigint"), "company", "investor", "p")
 
 
+@query("n6_all_samples")
+def n6b(spark, d):
+    from biparta.operators.negatives import bernoulli_edges
+
+    return bernoulli_edges(inputs.scores(spark, d), _ALL_SAMPLES, 5).select(F.col("sample_id").cast("bigint"), "company", "investor", "p")
+
+
 @query(
     "r10_monte_carlo",
     with_(
@@ -210,6 +226,13 @@ def r10(spark, d):
     return got.select("id", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "low", "high")], "p_top")
 
 
+@query("r10_samples_until_stable")
+def r10b(spark, d):
+    """500 sampled graphs, each ranked until its order is stable."""
+    got = montecarlo.uncertainty(inputs.scores(spark, d), _ALL_SAMPLES, None, 50, seed=5)
+    return got.select("id", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "low", "high")], "p_top")
+
+
 _THRESHOLDS = [0.3, 0.6, 0.9]
 _TH_SQL = "cut AS (SELECT scores.*, param_id FROM scores JOIN (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(_THRESHOLDS)) + ") AS v(param_id, th) ON p >= th)"
 
@@ -223,4 +246,11 @@ def r11(spark, d):
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 
+@query("r11_thresholds_until_stable")
+def r11b(spark, d):
+    """The thresholds of ``r11_threshold_sensitivity`` with the stop rule in place of three steps."""
+    got = ranking.threshold_sweep(inputs.scores(spark, d), _THRESHOLDS)
+    return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
+
+
 __all__ = ["SCORED"]

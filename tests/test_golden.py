@@ -112,3 +112,77 @@ def test_p_value():
     for t in (0.1, 1.0, 2.5):
         got = s.range(1).select(metrics.normal_p_value(F.lit(t)).alias("p")).first()["p"]
         assert got == pytest.approx(erfc(t / sqrt(2)), abs=2e-7)
+
+
+def plain_scores(edges, alpha, beta):
+    """Company and investor scores at the stop of each side, by a plain loop."""
+    comps, invs = sorted({a for a, _ in edges}), sorted({b for _, b in edges})
+    f = {c: float(sum(a == c for a, _ in edges)) for c in comps}
+    u = {v: float(sum(b == v for _, b in edges)) for v in invs}
+    wf, wu = {c: f[c] ** -beta for c in comps}, {v: u[v] ** -alpha for v in invs}
+    nv = {v: sum(wf[a] for a, b in edges if b == v) for v in invs}
+    nc = {c: sum(wu[b] for a, b in edges if a == c) for c in comps}
+    streak, before, final = {"company": 0, "investor": 0}, {}, {}
+    while len(final) < 2:
+        f, u = ({c: wf[c] * sum(u[b] / nv[b] for a, b in edges if a == c) for c in comps}, {v: wu[v] * sum(f[a] / nc[a] for a, b in edges if b == v) for v in invs})
+        for side, x in (("company", f), ("investor", u)):
+            p = sorted(x, key=lambda k: (x[k], k))
+            streak[side] = streak[side] + 1 if before.get(side) == p else 0
+            before[side] = p
+            if streak[side] >= 20 and side not in final:
+                norm = sum(v * v for v in x.values()) ** 0.5
+                final[side] = {k: v / norm for k, v in x.items()}
+    return final
+
+
+DENSE = [(c, 10 + v, (37 * c + 61 * v) % 97 / 97) for c in range(7) for v in range(6) if (c * v + c) % 4 != 3]
+
+
+def test_parameter_sweep_until_stable(spark):
+    df = spark.createDataFrame(DENSE, "company int, investor int, p double")
+    grid = [(0.3, -5.0), (0.8, -0.6)]
+    want = {(i, s, k): x for i, g in enumerate(grid) for s, side in plain_scores([e[:2] for e in DENSE], *g).items() for k, x in side.items()}
+    got = {(r.param_id, r.side, r.id): r.score for r in ranking.parameter_sweep(df, grid).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_threshold_sweep_until_stable(spark):
+    df = spark.createDataFrame(DENSE, "company int, investor int, p double")
+    cuts = [0.0, 0.2]
+    want = {(i, s, k): x for i, t in enumerate(cuts) for s, side in plain_scores([e[:2] for e in DENSE if e[2] >= t], 0.3, -5.0).items() for k, x in side.items()}
+    got = {(r.param_id, r.side, r.id): r.score for r in ranking.threshold_sweep(df, cuts).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_uncertainty_of_blocks_until_stable(spark):
+    import statistics
+
+    from biparta.operators import montecarlo, negatives
+
+    df = spark.createDataFrame(DENSE, "company int, investor int, p double")
+    runs = {}
+    for r in negatives.bernoulli_edges(df, 3, 3).collect():
+        runs.setdefault(r.sample_id, []).append((r.company, r.investor))
+    plain = [plain_scores(runs[i], 0.3, -5.0)["company"] for i in range(3)]
+    got = {r.id: r for r in montecarlo.uncertainty(df, 3, None, 2, seed=3, block=2).collect()}
+    assert sorted(got) == sorted({e[0] for e in DENSE})
+    tops = [sorted(got, key=lambda k: (-round(s.get(k, 0.0), 9), k))[:2] for s in plain]
+    for k, r in got.items():
+        values = [s.get(k, 0.0) for s in plain]
+        assert (r.mean_score, r.std_score) == pytest.approx((statistics.fmean(values), statistics.pstdev(values)), abs=1e-9)
+        assert r.p_top == pytest.approx(sum(k in t for t in tops) / 3)
+
+
+def test_forest_is_scored_on_later_rows(spark, sf, monkeypatch):
+    from biparta.operators import features, scoring
+    from biparta.plans import inputs, learning
+
+    seen = {}
+    monkeypatch.setattr(features, "pair_features", lambda pairs, events, cats, at: pairs.select("*", F.lit(at).alias("at"), *[F.lit(0.0).alias(f) for f in features.FEATURES]))
+    monkeypatch.setattr(scoring, "fit_forest", lambda rows, names, **k: seen.update(rows=rows, trees=k.get("trees", 200)) or (lambda *c: c[0]))
+    late = learning.m7(spark, sf)
+    first = inputs.interactions(spark, sf).select("company", "investor", F.col("ts").alias("met"))
+    fitted = seen["rows"].filter("label = 1").join(first, ["company", "investor"]).agg(F.min("met"), F.max("met"), F.max("at"), F.count(F.lit(1))).first()
+    scored = late.filter("label = 1").join(first, ["company", "investor"]).agg(F.min("met"), F.count(F.lit(1))).first()
+    assert seen["trees"] == 200 and fitted[3] > 0 and scored[1] > 0
+    assert fitted[2] <= fitted[0] and fitted[1] < learning.AT <= scored[0]
