@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import jaccard_join, language_id, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
+from biparta.llm import jaccard_join, language_id, merkle, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,44 @@ def op6_permutation_index(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, d, "documents"), keep_bytes=False).drop("kept")
+
+
+# the checksum of an id's digits, bit by bit; the constants are those of the public CRC-32
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    return f"""{name}(lvl, tree, rank, digest, n) AS (SELECT 0, tree, rank, digest, count(*) OVER (PARTITION BY tree) FROM {nodes}
+  UNION ALL SELECT lvl + 1, tree, rank // 2, sha256(string_agg(digest, '' ORDER BY rank)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY lvl, tree, rank // 2)"""
+
+
+def _fold_sql(name: str, start: str, tree: str) -> str:
+    return f"""{name}(k, tree, lvl, rank, acc, proof) AS ({start}
+  UNION ALL SELECT f.k, f.tree, f.lvl + 1, f.rank // 2, sha256(CASE WHEN f.rank % 2 = 1 THEN s.digest || f.acc ELSE f.acc || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+  FROM {name} f JOIN {tree}_heights h ON h.tree = f.tree AND f.lvl < h.height LEFT JOIN {tree} s ON s.tree = f.tree AND s.lvl = f.lvl AND s.rank = xor(f.rank, 1))"""
+
+
+_OP11 = f"""WITH RECURSIVE framed AS (SELECT doc_id, coalesce('+' || lang, '-') AS tree, {_leaf_sql("n_chars")} AS leaf,
+  CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS shown FROM documents),
+leaves AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, row_number() OVER () AS k FROM framed),
+{_tree_sql("low", "leaves")},
+low_heights AS (SELECT tree, max(lvl) AS height FROM low GROUP BY 1),
+subs AS (SELECT tree AS grp, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS rank FROM low WHERE n = 1),
+{_tree_sql("top", "subs")},
+top_heights AS (SELECT tree, max(lvl) AS height FROM top GROUP BY 1),
+{_fold_sql("inner_", "SELECT k, tree, 0, rank, coalesce(shown, leaf), '' FROM leaves", "low")},
+joined AS (SELECT i.k, s.tree, 0 AS lvl, s.rank, i.acc, i.proof, s.digest AS subroot FROM inner_ i JOIN low_heights h ON h.tree = i.tree AND h.height = i.lvl JOIN subs s ON s.grp = i.tree),
+{_fold_sql("outer_", "SELECT k, tree, lvl, rank, acc, proof FROM joined", "top")}
+SELECT l.doc_id, l.leaf, j.subroot, r.digest AS root, sha256(o.proof) AS proof_sha256, o.acc AS folded_root, o.acc = r.digest AS verified
+FROM leaves l JOIN joined j ON j.k = l.k JOIN outer_ o ON o.k = l.k JOIN top_heights h ON h.height = o.lvl CROSS JOIN (SELECT digest FROM top WHERE n = 1) r"""
+
+
+@query("op11_merkle_manifest", _OP11)
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return merkle.verify(table(spark, d, "documents"), crc % 7 == 0, F.col("n_chars") + 1).drop("proof")
