@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import jaccard_join, language_id, merkle, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
+from biparta.llm import bpe_words, jaccard_join, language_id, merkle, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +204,8 @@ FROM leaves l JOIN joined j ON j.k = l.k JOIN outer_ o ON o.k = l.k JOIN top_hei
 def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     return merkle.verify(table(spark, d, "documents"), crc % 7 == 0, F.col("n_chars") + 1).drop("proof")
+
+
+@query("op12_bpe_words")
+def op12_bpe_words(spark: SparkSession, d: str) -> DataFrame:
+    return bpe_words.encode_decode(table(spark, d, "documents"), keep=False)
