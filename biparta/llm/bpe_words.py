@@ -39,7 +39,7 @@ from biparta.session import materialize, shuffle_width
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Texts of one chunk; a task holds the distinct words of one chunk.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 32_000_000
 # Words that a task of the encoding step remembers; beyond it a word may be encoded again.
 MEMO_WORDS = 1_000_000
 
@@ -52,33 +52,42 @@ ROWS = "chunk bigint, part int, docs array<bigint>, a binary, b binary, c binary
 LAST_PART = 1 << 30
 
 
+_CODEC = "zstd"
+
+
+def press(data: bytes) -> bytes:
+    """Compressed bytes after their plain length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec=_CODEC, asbytes=True)
+
+
+def unpress(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True) if len(data) > 8 else b""
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, byte planes apart, compressed."""
-    return zlib.compress(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return press(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(unpress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
 
 
 def squeeze_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Numbers of which small ones are frequent: one byte each, and the rest apart."""
-    return zlib.compress(np.minimum(codes, 255).astype(np.uint8).tobytes(), 1), squeeze(codes[codes >= 255] - 255)
+    return press(np.minimum(codes, 255).astype(np.uint8).tobytes()), squeeze(codes[codes >= 255] - 255)
 
 
 def unsqueeze_codes(low: bytes, high: bytes) -> np.ndarray:
-    codes = np.frombuffer(zlib.decompress(low), np.uint8).astype(np.int64)
+    codes = np.frombuffer(unpress(low), np.uint8).astype(np.int64)
     codes[codes == 255] += unsqueeze(high)
     return codes
 
 
-def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes renumbered so that frequent ones are small, and the old code of each new one."""
-    old = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
-    new = np.empty(n, np.int64)
-    new[old] = np.arange(n)
-    return new[codes], old
+def most_used(counts: np.ndarray) -> np.ndarray:
+    """Numbers from the most to the least used one; ties by number."""
+    return np.argsort(-counts, kind="stable")
 
 
 class Numbers(dict):
@@ -127,13 +136,17 @@ def _split(specials: list[str], buckets: int, chunk_bytes: int):
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(raw), np.int64)
         place[order] = np.arange(len(raw))
-        flat, old = by_frequency(np.concatenate(codes), len(raw))
-        low, high = squeeze_codes(flat)
-        columns: list[list] = [[LAST_PART], [docs], [squeeze(np.array([len(c) for c in codes]))], [squeeze(place[old])], [low], [high]]
+        # frequent words get small numbers; the counts, by place, tell the reader which
+        at = place[np.concatenate(codes)]
+        counts = np.bincount(at, minlength=len(raw))
+        rank = np.empty(len(raw), np.int64)
+        rank[most_used(counts)] = np.arange(len(raw))
+        low, high = squeeze_codes(rank[at])
+        columns: list[list] = [[LAST_PART], [docs], [squeeze(np.array([len(c) for c in codes]))], [squeeze(counts)], [low], [high]]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for part in np.flatnonzero(np.diff(bounds)).tolist():
             mine = [raw[i] for i in order[bounds[part] : bounds[part + 1]].tolist()]
-            row = [part, None, squeeze(np.array([len(w) for w in mine])), zlib.compress(b"".join(mine), 1), None, None]
+            row = [part, None, squeeze(np.array([len(w) for w in mine])), press(b"".join(mine)), None, None]
             for c, v in zip(columns, row, strict=True):
                 c.append(v)
         types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
@@ -147,7 +160,7 @@ def _split(specials: list[str], buckets: int, chunk_bytes: int):
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = words(text.as_py() or "")
-                codes.append(np.array(list(map(numbers.__getitem__, found)), np.int64))
+                codes.append(np.array(list(map(numbers.__getitem__, found)), np.int32))
                 docs.append(doc)
                 held += len(text.as_py() or "") + 1
                 if held >= chunk_bytes:
@@ -182,7 +195,7 @@ def _encode(path: str):
                 if part != last or len(known) > MEMO_WORDS:
                     known, last = {}, part
                 ends = np.cumsum(unsqueeze(sizes)).tolist()
-                joined = zlib.decompress(data)
+                joined = unpress(data)
                 words = [joined[x:y] for x, y in pairwise([0, *ends])]
                 fresh = [w for w in words if w not in known]
                 for w, e in zip(fresh, full.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
@@ -195,7 +208,7 @@ def _encode(path: str):
                         pa.array([part], pa.int32()),
                         pa.array([squeeze(np.array([len(x) for x in ids]))], pa.binary()),
                         pa.array([squeeze(flat)], pa.binary()),
-                        pa.array([np.unique(flat)], pa.list_(pa.int64())),
+                        pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32())),
                     ],
                     names=["chunk", "part", "a", "b", "ids"],
                 )
@@ -207,7 +220,7 @@ def encode_words(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Ids of the words of every chunk and bucket: ``(chunk, part, a, b, ids)``; equal words meet and are encoded once."""
     words = rows.filter(F.col("part") < LAST_PART).select("chunk", "part", "a", "b")
     dealt = words.repartition(2 * shuffle_width(rows.sparkSession), "part").sortWithinPartitions("part", "chunk")
-    return materialize(dealt.mapInArrow(_encode(path), "chunk bigint, part int, a binary, b binary, ids array<bigint>"), "word-ids")
+    return materialize(dealt.mapInArrow(_encode(path), "chunk bigint, part int, a binary, b binary, ids array<int>"), "word-ids")
 
 
 def piece_table(spark: SparkSession, path: str = TOKENIZER) -> DataFrame:
@@ -218,15 +231,15 @@ def piece_table(spark: SparkSession, path: str = TOKENIZER) -> DataFrame:
     pieces = []
     for token, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items():
         pieces.append((i, bytearray(byte[c] for c in token) if all(c in byte for c in token) else bytearray(token.encode())))
-    return spark.createDataFrame(sorted(pieces), "id bigint, piece binary")
+    return spark.createDataFrame(sorted(pieces), "id int, piece binary")
 
 
 def chunk_pieces(ids: DataFrame, pieces: DataFrame) -> DataFrame:
     """Pieces of the distinct ids of every chunk: ``(chunk, ids, pieces)``."""
-    used = ids.select("chunk", F.explode("ids").alias("id")).distinct()
-    # the vocabulary bounds both the broadcast table and the pieces of a chunk
+    # the vocabulary bounds the ids of a chunk, its pieces, and the broadcast table
+    used = ids.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).select("chunk", F.explode("ids").alias("id"))
     found = used.join(F.broadcast(pieces), "id").groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("p"))
-    return found.select("chunk", F.col("p.id").alias("ids"), F.col("p.piece").alias("pieces"))
+    return materialize(found, "pieces").select("chunk", F.col("p.id").alias("ids"), F.col("p.piece").alias("pieces"))
 
 
 def _place(keep: bool):
@@ -251,7 +264,7 @@ def _place(keep: bool):
                     counts.append(n)
                 else:
                     n = np.concatenate([*counts, np.zeros(0, np.int64)])
-                    codes = unsqueeze(row["b"].as_py())[unsqueeze_codes(row["c"].as_py(), row["d"].as_py())]
+                    codes = most_used(unsqueeze(row["b"].as_py()))[unsqueeze_codes(row["c"].as_py(), row["d"].as_py())]
                     ends = np.cumsum(unsqueeze(row["a"].as_py())).tolist()
                     yield from _documents(row["docs"].as_py(), codes, ends, n, ids, texts, keep)
                     piece, ids, texts, counts = {}, [], [], []
@@ -289,7 +302,7 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, keep: bool = True, id_
     spark = docs.sparkSession
     rows = split_words(docs, path, id_col, text_col, chunk_bytes)
     words = encode_words(rows, path)
-    none = {"docs": "array<bigint>", "a": "binary", "b": "binary", "c": "binary", "d": "binary", "ids": "array<bigint>", "pieces": "array<binary>"}
+    none = {"docs": "array<bigint>", "a": "binary", "b": "binary", "c": "binary", "d": "binary", "ids": "array<int>", "pieces": "array<binary>"}
 
     def as_part(df: DataFrame, part) -> DataFrame:
         return df.select("chunk", part.cast("int").alias("part"), *[(F.col(n) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in none.items()])
