@@ -39,7 +39,7 @@ from biparta.session import materialize, shuffle_width
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Texts of one chunk; a task holds the distinct words of one chunk.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 64_000_000
 # Words that a task of the encoding step remembers; beyond it a word may be encoded again.
 MEMO_WORDS = 1_000_000
 
@@ -133,7 +133,9 @@ def _split(specials: list[str], buckets: int, chunk_bytes: int):
     def rows(chunk: int, docs: list, codes: list[np.ndarray], words: list[str]) -> Iterator[pa.RecordBatch]:
         raw = [w.encode() for w in words]
         bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
-        order = np.argsort(bucket, kind="stable")
+        # sorted inside their bucket, words and their ids compress better
+        by_word = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        order = by_word[np.argsort(bucket[by_word], kind="stable")]
         place = np.empty(len(raw), np.int64)
         place[order] = np.arange(len(raw))
         # frequent words get small numbers; the counts, by place, tell the reader which
