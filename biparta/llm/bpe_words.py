@@ -52,16 +52,16 @@ ROWS = "chunk bigint, part int, docs array<bigint>, a binary, b binary, c binary
 LAST_PART = 1 << 30
 
 
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=6)
 
 
 def press(data: bytes) -> bytes:
     """Compressed bytes after their plain length."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec=_CODEC, asbytes=True)
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
 
 
 def unpress(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True) if len(data) > 8 else b""
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if len(data) > 8 else b""
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -98,6 +98,11 @@ class Numbers(dict):
         return n
 
 
+def id_width(full) -> str:
+    """Ids of equal stems lie side by side, so they are kept whole; two bytes are enough for most vocabularies."""
+    return "<u2" if max(full.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
 def special_tokens(path: str) -> list[str]:
     """Added tokens that stand in a text as they are; others would change how words are cut."""
     import json
@@ -189,6 +194,7 @@ def _encode(path: str):
         full = Tokenizer.from_file(path)
         full.no_truncation()
         full.no_padding()
+        width = id_width(full)
         known: dict[bytes, np.ndarray] = {}
         last = None
         for b in batches:
@@ -209,7 +215,7 @@ def _encode(path: str):
                         pa.array([chunk], pa.int64()),
                         pa.array([part], pa.int32()),
                         pa.array([squeeze(np.array([len(x) for x in ids]))], pa.binary()),
-                        pa.array([squeeze(flat)], pa.binary()),
+                        pa.array([press(flat.astype(width).tobytes())], pa.binary()),
                         pa.array([np.unique(flat).astype(np.int32)], pa.list_(pa.int32())),
                     ],
                     names=["chunk", "part", "a", "b", "ids"],
@@ -244,8 +250,11 @@ def chunk_pieces(ids: DataFrame, pieces: DataFrame) -> DataFrame:
     return materialize(found, "pieces").select("chunk", F.col("p.id").alias("ids"), F.col("p.piece").alias("pieces"))
 
 
-def _place(keep: bool):
+def _place(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        width = id_width(Tokenizer.from_file(path))
         piece: dict[int, bytes] = {}
         ids: list[bytes] = []
         texts: list[bytes] = []
@@ -257,7 +266,7 @@ def _place(keep: bool):
                 if part < 0:
                     piece = dict(zip(row["ids"].as_py(), row["pieces"].as_py(), strict=True))
                 elif part < LAST_PART:
-                    n, flat = unsqueeze(row["a"].as_py()), unsqueeze(row["b"].as_py())
+                    n, flat = unsqueeze(row["a"].as_py()), np.frombuffer(unpress(row["b"].as_py()), width)
                     ends = np.cumsum(n).tolist()
                     raw, found = flat.astype("<u4").tobytes(), list(map(piece.__getitem__, flat.tolist()))
                     for x, y in pairwise([0, *ends]):
@@ -313,4 +322,4 @@ def encode_decode(docs: DataFrame, path: str = TOKENIZER, keep: bool = True, id_
     parts = parts.unionByName(as_part(words.drop("ids"), F.col("part")))
     parts = parts.unionByName(as_part(rows.filter(F.col("part") == LAST_PART), F.col("part")))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    return parts.repartition(2 * shuffle_width(spark), "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_place(keep), schema)
+    return parts.repartition(2 * shuffle_width(spark), "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_place(path, keep), schema)
