@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biparta.llm import bpe_words, jaccard_join, language_id, merkle, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, url_trust
+from biparta.llm import bpe_words, jaccard_join, language_id, merkle, mixing, near_vectors, packing, permutation_index, secret_scan, shard_table, suffix_dedup, token_links, url_trust
 from biparta.plans.registry import sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +209,8 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query("op12_bpe_words")
 def op12_bpe_words(spark: SparkSession, d: str) -> DataFrame:
     return bpe_words.encode_decode(table(spark, d, "documents"), keep=False)
+
+
+@query("op13_token_links")
+def op13_token_links(spark: SparkSession, d: str) -> DataFrame:
+    return token_links.count_links(table(spark, d, "documents"))[0]
