@@ -56,7 +56,7 @@ def leaf_digest(fields: list[Column]) -> Column:
 
 def tree_key(group: Column) -> Column:
     """A key that is never null and sorts as the group does, null first."""
-    return F.coalesce(F.concat(F.lit("+"), group.cast("string")), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("+"), group.cast("string")), F.lit(""))
 
 
 def _segments(height: int):

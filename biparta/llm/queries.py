@@ -185,7 +185,7 @@ def _fold_sql(name: str, start: str, tree: str) -> str:
   FROM {name} f JOIN {tree}_heights h ON h.tree = f.tree AND f.lvl < h.height LEFT JOIN {tree} s ON s.tree = f.tree AND s.lvl = f.lvl AND s.rank = xor(f.rank, 1))"""
 
 
-_OP11 = f"""WITH RECURSIVE framed AS (SELECT doc_id, coalesce('+' || lang, '-') AS tree, {_leaf_sql("n_chars")} AS leaf,
+_OP11 = f"""WITH RECURSIVE framed AS (SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf,
   CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS shown FROM documents),
 leaves AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, row_number() OVER () AS k FROM framed),
 {_tree_sql("low", "leaves")},
