@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from biparta.functions.hashing import draw_int, draw_uniform, gumbel
+from biparta.functions.hashing import DRAW_RANGE, draw_int, gumbel
 from biparta.functions.vectors import dot
 from biparta.operators.graph import COMPANY, INVESTOR
 from biparta.operators.history import as_of
@@ -197,10 +203,27 @@ def hard_negatives(
     return hard.unionByName(rand)
 
 
-def bernoulli_edges(scores: DataFrame, samples: int, seed: int = 0, p: str = "p", first: int = 0) -> DataFrame:
-    """``samples`` random graphs, numbered from ``first``: an edge is in a sample when its hash-uniform draw is below p."""
-    runs = scores.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + samples - 1))).alias("sample_id"))
-    return runs.filter(draw_uniform(seed, "sample_id", COMPANY, INVESTOR) < F.col(p))
+def bernoulli_edges(scores: DataFrame, samples: int, seed: int = 0, p: str = "p") -> DataFrame:
+    """``samples`` random graphs as one row per edge: ``in_samples`` has a 1 for each sample with the edge, in
+    order, and ``n_samples`` counts them. An edge is in a sample when its hash-uniform draw is below p; the
+    draws are those of ``draw_uniform(seed, sample, company, investor)``, many at a time.
+    """
+    schema = T.StructType([*scores.schema.fields, T.StructField("in_samples", T.StringType()), T.StructField("n_samples", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = [f"{seed}|{i}|".encode() for i in range(samples)]
+        for b in batches:
+            drawn, counts = [], []
+            for c, v, limit in zip(b.column(COMPANY).to_pylist(), b.column(INVESTOR).to_pylist(), b.column(p).to_pylist(), strict=True):
+                tail = f"{c}|{v}".encode()
+                first = np.frombuffer(b"".join([md5(h + tail, usedforsecurity=False).digest() for h in heads]), ">u8")[::2] >> 4
+                inside = first.astype(np.float64) / DRAW_RANGE < (0.0 if limit is None else limit)
+                drawn.append((inside + ord("0")).astype(np.uint8).tobytes().decode())
+                counts.append(int(inside.sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(drawn, pa.string()), pa.array(counts, pa.int64())], names=schema.names)
+
+    # the draws cost far more than the rows, which may lie in a few small files
+    return scores.repartition(shuffle_width(scores.sparkSession), COMPANY, INVESTOR).mapInArrow(run, schema)
 
 
 def funded_before(queries: DataFrame, events: DataFrame, time: str = "ts") -> DataFrame:

@@ -298,19 +298,3 @@ def rank_graph(
 def with_ground_truth(ranks: DataFrame, truth: DataFrame) -> DataFrame:
     """Attach ``truth(side, id, ground_truth_rank, ground_truth_score)`` by id."""
     return ranks.join(truth, ["side", "id"], "left")
-
-
-def parameter_sweep(edges: DataFrame, settings: list[tuple[float, float]], iterations: int | None = None, weight: str | None = None) -> DataFrame:
-    """Scores for several (alpha, beta) at once, keyed by ``param_id``; without ``iterations`` until stable."""
-    grid = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for i, (a, b) in enumerate(settings)])
-    )
-    runs = edges.select("*", grid.alias("g")).select(*edges.columns, "g.*")
-    return scores_of(runs, iterations, "alpha", "beta", weight, by=("param_id",))
-
-
-def threshold_sweep(scores: DataFrame, thresholds: list[float], iterations: int | None = None, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
-    """Scores of the thresholded graphs ``p >= t``, keyed by ``param_id``; without ``iterations`` until stable."""
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("param_id"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)]))
-    runs = scores.select("*", grid.alias("g")).select(*scores.columns, "g.*").filter(F.col("p") >= F.col("threshold"))
-    return scores_of(runs, iterations, alpha, beta, by=("param_id",))

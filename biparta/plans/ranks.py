@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from biparta import fixtures
-from biparta.operators import montecarlo, ranking
+from biparta.operators import block_ranking, montecarlo, ranking
 from biparta.plans import inputs
 from biparta.plans.registry import EDGES, INTER, INV, NEGS, POOL, SCORED, SCORES, query, sql_uniform, with_
 
@@ -175,14 +175,14 @@ _GRID_SQL = "grid AS (SELECT edges.*, param_id, al0, be0 FROM edges, (VALUES " +
 
 @query("r9_parameter_sweep", with_(INV, EDGES, _GRID_SQL, *iterations_sql("grid", "1", "al0", "be0", 3, by="param_id")) + "SELECT param_id::BIGINT AS param_id, side, id, round(score, 6) AS score FROM result")
 def r9(spark, d):
-    got = ranking.parameter_sweep(inputs.edges(spark, d), _GRID, 3)
+    got = block_ranking.parameter_sweep(inputs.edges(spark, d), _GRID, 3)
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 
 @query("r9_sweep_until_stable")
 def r9b(spark, d):
     """The sweep of ``r9_parameter_sweep`` with the stop rule in place of three steps."""
-    got = ranking.parameter_sweep(inputs.edges(spark, d), _GRID)
+    got = block_ranking.parameter_sweep(inputs.edges(spark, d), _GRID)
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 
@@ -199,14 +199,23 @@ _MC = [
 def n6(spark, d):
     from biparta.operators.negatives import bernoulli_edges
 
-    return bernoulli_edges(inputs.scores(spark, d), _SAMPLES, 5).select(F.col("sample_id").cast("bigint"), "company", "investor", "p")
+    edges = bernoulli_edges(inputs.scores(spark, d), _SAMPLES, 5)
+    listed = edges.select("company", "investor", "p", F.posexplode(F.split("in_samples", "")).alias("sample_id", "bit")).filter("bit = '1'")
+    return listed.select(F.col("sample_id").cast("bigint"), "company", "investor", "p")
 
 
-@query("n6_all_samples")
+@query(
+    "n6_all_samples",
+    with_(INV, EDGES, INTER, POOL, NEGS, SCORES, f"""drawn AS (SELECT company, investor, p,
+      array_to_string(list_transform(range(0, {_ALL_SAMPLES}), lambda i: CASE WHEN {sql_uniform(5, 'i', 'company', 'investor')} < p THEN '1' ELSE '0' END), '') AS bits FROM scores)""")
+    + "SELECT company, investor, p, len(replace(bits, '0', '')) AS n_samples, md5(bits) AS in_samples_md5 FROM drawn",
+)
 def n6b(spark, d):
+    """All 500 random graphs: one row per edge, with a bit per graph (as a digest, to keep the check short)."""
     from biparta.operators.negatives import bernoulli_edges
 
-    return bernoulli_edges(inputs.scores(spark, d), _ALL_SAMPLES, 5).select(F.col("sample_id").cast("bigint"), "company", "investor", "p")
+    edges = bernoulli_edges(inputs.scores(spark, d), _ALL_SAMPLES, 5)
+    return edges.select("company", "investor", "p", "n_samples", F.md5("in_samples").alias("in_samples_md5"))
 
 
 @query(
@@ -230,7 +239,7 @@ def r10(spark, d):
 def r10b(spark, d):
     """500 sampled graphs, each ranked until its order is stable."""
     got = montecarlo.uncertainty(inputs.scores(spark, d), _ALL_SAMPLES, None, 50, seed=5)
-    return got.select("id", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "low", "high")], "p_top")
+    return got.select("id", *[F.round(c, 6).alias(c) for c in ("mean_score", "std_score", "low", "high")], "rank_low", "rank_high", "p_top")
 
 
 _THRESHOLDS = [0.3, 0.6, 0.9]
@@ -242,14 +251,14 @@ _TH_SQL = "cut AS (SELECT scores.*, param_id FROM scores JOIN (VALUES " + ", ".j
     with_(INV, EDGES, INTER, POOL, NEGS, SCORES, _TH_SQL, *iterations_sql("cut", "1", "0.3", "-5", 3, by="param_id")) + "SELECT param_id::BIGINT AS param_id, side, id, round(score, 6) AS score FROM result",
 )
 def r11(spark, d):
-    got = ranking.threshold_sweep(inputs.scores(spark, d), _THRESHOLDS, 3)
+    got = block_ranking.threshold_sweep(inputs.scores(spark, d), _THRESHOLDS, 3)
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 
 @query("r11_thresholds_until_stable")
 def r11b(spark, d):
     """The thresholds of ``r11_threshold_sensitivity`` with the stop rule in place of three steps."""
-    got = ranking.threshold_sweep(inputs.scores(spark, d), _THRESHOLDS)
+    got = block_ranking.threshold_sweep(inputs.scores(spark, d), _THRESHOLDS)
     return got.select(F.col("param_id").cast("bigint"), "side", "id", F.round("score", 6).alias("score"))
 
 

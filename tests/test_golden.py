@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from biparta.operators import diagnostics, losses, metrics, ranking
+from biparta.operators import block_ranking, diagnostics, losses, metrics, ranking
 from biparta.operators.ordering import exact_quantiles
 
 EDGES = [("A", "x"), ("A", "y"), ("B", "y"), ("B", "z"), ("C", "z")]
@@ -126,7 +126,7 @@ def plain_scores(edges, alpha, beta):
     while len(final) < 2:
         f, u = ({c: wf[c] * sum(u[b] / nv[b] for a, b in edges if a == c) for c in comps}, {v: wu[v] * sum(f[a] / nc[a] for a, b in edges if b == v) for v in invs})
         for side, x in (("company", f), ("investor", u)):
-            p = sorted(x, key=lambda k: (x[k], k))
+            p = sorted(x, key=lambda k: (float(f"{x[k]:.11e}"), k))
             streak[side] = streak[side] + 1 if before.get(side) == p else 0
             before[side] = p
             if streak[side] >= 20 and side not in final:
@@ -142,7 +142,7 @@ def test_parameter_sweep_until_stable(spark):
     df = spark.createDataFrame(DENSE, "company int, investor int, p double")
     grid = [(0.3, -5.0), (0.8, -0.6)]
     want = {(i, s, k): x for i, g in enumerate(grid) for s, side in plain_scores([e[:2] for e in DENSE], *g).items() for k, x in side.items()}
-    got = {(r.param_id, r.side, r.id): r.score for r in ranking.parameter_sweep(df, grid).collect()}
+    got = {(r.param_id, r.side, r.id): r.score for r in block_ranking.parameter_sweep(df, grid).collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
 
@@ -150,7 +150,7 @@ def test_threshold_sweep_until_stable(spark):
     df = spark.createDataFrame(DENSE, "company int, investor int, p double")
     cuts = [0.0, 0.2]
     want = {(i, s, k): x for i, t in enumerate(cuts) for s, side in plain_scores([e[:2] for e in DENSE if e[2] >= t], 0.3, -5.0).items() for k, x in side.items()}
-    got = {(r.param_id, r.side, r.id): r.score for r in ranking.threshold_sweep(df, cuts).collect()}
+    got = {(r.param_id, r.side, r.id): r.score for r in block_ranking.threshold_sweep(df, cuts).collect()}
     assert got == pytest.approx(want, abs=1e-9)
 
 
@@ -162,9 +162,12 @@ def test_uncertainty_of_blocks_until_stable(spark):
     df = spark.createDataFrame(DENSE, "company int, investor int, p double")
     runs = {}
     for r in negatives.bernoulli_edges(df, 3, 3).collect():
-        runs.setdefault(r.sample_id, []).append((r.company, r.investor))
+        assert r.n_samples == r.in_samples.count("1") and len(r.in_samples) == 3
+        for i in range(3):
+            if r.in_samples[i] == "1":
+                runs.setdefault(i, []).append((r.company, r.investor))
     plain = [plain_scores(runs[i], 0.3, -5.0)["company"] for i in range(3)]
-    got = {r.id: r for r in montecarlo.uncertainty(df, 3, None, 2, seed=3, block=2).collect()}
+    got = {r.id: r for r in montecarlo.uncertainty(df, 3, None, 2, seed=3).collect()}
     assert sorted(got) == sorted({e[0] for e in DENSE})
     tops = [sorted(got, key=lambda k: (-round(s.get(k, 0.0), 9), k))[:2] for s in plain]
     for k, r in got.items():
