@@ -320,3 +320,44 @@ def test_metric_logs_keep_their_first_line(spark, tmp_path):
         (tmp_path / f"run={run}" / "log.txt").write_text(text)
     got = readers.scan_metric_logs(spark, str(tmp_path), {"ap": r"AP: ([0-9.]+)", "mrr": r"MRR = ([0-9]+)"}, r"run=([^/]+)/").collect()
     assert {r.run: (r.ap, r.mrr) for r in got} == {"one": (0.5, 3.0), "two": (0.2, None), "three": (None, None)}
+
+
+@pytest.mark.parametrize("ranges", ["1", "7"])
+def test_moves_in_ranges(spark, ranges):
+    """Places taken range by range equal places in the whole order, where ranges overlap too."""
+    import numpy as np
+
+    from biparta.operators.block_ranking import moves
+
+    rng = np.random.default_rng(11)
+    data, want = [], {}
+    for run, noise in ((0, 0.0), (1, 0.02), (2, 5.0)):
+        for side in ("company", "investor"):
+            x = rng.integers(0, 60, 80).astype(float)[:, None] + noise * rng.random((80, 5))
+            data += [(run, side, i, row.tolist()) for i, row in enumerate(x)]
+            place = np.argsort(np.array([sorted(range(80), key=lambda i, j=j: (x[i, j], i)) for j in range(5)]), axis=1)
+            want[run, side] = [0, *(place[1:] != place[:-1]).sum(axis=1).tolist()]
+    rows = spark.createDataFrame(data, "run int, side string, id bigint, xs array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        sizes, found = moves(rows, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == want and set(sizes.values()) == {80}
+
+
+def test_block_scores_equal_single_runs(spark, monkeypatch):
+    """Weights, bundles and flushed partial sums, against one ranking per run."""
+    from biparta.operators import block_ranking
+
+    monkeypatch.setattr(block_ranking, "BUNDLE", 3)
+    monkeypatch.setattr(block_ranking, "HELD_BYTES", 1)
+    data = [(c, 100 + v, 1.0 + (c * v) % 5) for c in range(40) for v in range(9) if (c + v) % 3 or v == 0]
+    df = spark.createDataFrame(data, "company bigint, investor bigint, w double")
+    runs = [(0.3, -5.0), (0.8, -0.6), (1.0, 0.0)]
+    got = {(r.run, r.side, r.id): r.score for r in block_ranking.block_scores(df, *zip(*runs, strict=True), iterations=3, weight="w")[0].collect()}
+    want = {(i, r.side, r.id): r.score for i, (a, b) in enumerate(runs) for r in ranking.fixed_scores(df, 3, a, b, "w").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    empty = block_ranking.block_scores(df.limit(0), [0.3], [-5.0])
+    assert empty[0].count() == 0 and empty[1].count() == 0
