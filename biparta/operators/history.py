@@ -98,7 +98,11 @@ def gaps(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
 
 def gap_statistics(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
     """Mean and population deviation of all gaps of one side (one row)."""
-    g = gaps(events, key, time)
+    return statistics_of_gaps(gaps(events, key, time))
+
+
+def statistics_of_gaps(g: DataFrame) -> DataFrame:
+    """As ``gap_statistics``, from a table of gaps that is at hand."""
     mean = F.sum("gap") / F.sum("repeats")
     square = F.sum(F.col("gap") * F.col("gap")) / F.sum("repeats")
     return g.agg(mean.alias("mean_gap"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_gap"), F.sum("repeats").alias("events"))

@@ -9,6 +9,7 @@ from biparta.functions.vectors import time_encoding
 from biparta.operators import features, graph, history, negatives, neighbors, relational, splits
 from biparta.plans import inputs
 from biparta.plans.registry import CUTS, EDGES, INTER, INTERACTIONS, INV, LABELLED, NEGS, POOL, SCORED, query, sql_draw, sql_gumbel, with_
+from biparta.session import materialize
 
 t = fixtures.table
 
@@ -219,10 +220,11 @@ def t13(spark, d):
     + "SELECT i.idx, round(n_rounds * (1 + 0.5 * (gap - mu) / sd), 5) AS s0 FROM inter i JOIN gap ON gap.company = i.company AND gap.ts = i.ts, st",
 )
 def t14(spark, d):
-    x = inputs.interactions(spark, d)
-    st = history.gap_statistics(x, "company").select(F.struct("mean_gap", "std_gap").alias("s")).scalar()
-    rows = x.join(history.gaps(x, "company").drop("repeats"), ["company", "ts"])
-    rows = rows.withColumn("mu", st["mean_gap"]).withColumn("sd", st["std_gap"])
+    x = materialize(inputs.interactions(spark, d).select("idx", "company", "ts", "n_rounds"), "interactions")
+    gaps = materialize(history.gaps(x, "company"), "gaps")
+    # one row
+    st = F.broadcast(history.statistics_of_gaps(gaps).select(F.col("mean_gap").alias("mu"), F.col("std_gap").alias("sd")))
+    rows = x.join(gaps.drop("repeats"), ["company", "ts"]).join(st)
     state = neighbors.decayed_state(F.array(F.col("n_rounds").cast("double")), F.col("gap"), F.col("mu"), F.col("sd"), 0.5)
     return rows.select("idx", F.round(state[0], 5).alias("s0"))
 
