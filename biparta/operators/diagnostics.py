@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biparta.operators.components import components, connectivity
-from biparta.operators.graph import COMPANY, INVESTOR, degrees, endpoints
+from biparta.operators.graph import COMPANY, INVESTOR, degrees
 from biparta.operators.ordering import exact_quantiles, running_sum
 from biparta.operators.projection import assortativity
 from biparta.session import materialize
@@ -45,10 +45,6 @@ def degree_statistics(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     return base.join(medians, "side").join(gini(deg, "degree", ("side",)), "side")
 
 
-def _sizes(nodes: DataFrame) -> DataFrame:
-    return nodes.agg(F.count_if(F.col("side") == COMPANY).alias("n_companies"), F.count_if(F.col("side") == INVESTOR).alias("n_investors"))
-
-
 def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: edge count, possible edges, density, sparsity, edges per side, one-mode density."""
     n = nodes.agg(F.struct(F.count_if(F.col("side") == COMPANY).alias("c"), F.count_if(F.col("side") == INVESTOR).alias("v")).alias("n")).scalar()
@@ -307,7 +303,3 @@ def batch_repeats(events: DataFrame, node: str, batch_size: int, order: str = "i
     """Per batch of consecutive rows: nodes that occur more than once."""
     per = events.groupBy(F.floor(F.col(order) / batch_size).alias("batch"), node).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("batch").agg(F.count(F.lit(1)).alias("distinct_nodes"), F.count_if(F.col("n") > 1).alias("repeated_nodes"))
-
-
-def edge_sides(edges: DataFrame) -> DataFrame:
-    return endpoints(edges).groupBy("side").agg(F.count_distinct("id").alias("nodes"), F.count(F.lit(1)).alias("ends"))

@@ -118,17 +118,6 @@ def tripartite_edges(companies: DataFrame, rounds: DataFrame) -> DataFrame:
     )
 
 
-def typed_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes of a typed edge table, as ``(node_type, id)``; the edge type is ``<src>_<dst>``."""
-    ends = F.explode(
-        F.array(
-            F.struct(F.split_part("edge_type", F.lit("_"), F.lit(1)).alias("node_type"), F.col("src").alias("id")),
-            F.struct(F.split_part("edge_type", F.lit("_"), F.lit(2)).alias("node_type"), F.col("dst").alias("id")),
-        )
-    )
-    return edges.select(ends.alias("e")).select("e.*").distinct()
-
-
 def labelled_graph(interactions: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ground-truth graph: rolled-up positive interactions, and every mapped node (isolates included)."""
     edges = edge_rollup(interactions.filter(F.col("label") > 0))
@@ -180,12 +169,6 @@ def _two_sided() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def drop_ambiguous(edges: DataFrame) -> DataFrame:
-    """Drop edges whose investor id is also a company id (kept as a company only)."""
-    names = edges.select(F.col(COMPANY).alias(INVESTOR)).distinct()
-    return edges.join(names, INVESTOR, "left_anti")
-
-
 def top_nodes(edges: DataFrame, side: str, k: int) -> DataFrame:
     deg = degrees(edges).filter(F.col("side") == side)
     return deg.orderBy(F.col("degree").desc(), F.col("id").asc()).limit(k)

@@ -5,7 +5,7 @@ Ties are handled on the distinct score values, so equal scores cost one row.
 
 from __future__ import annotations
 
-from math import erf, sqrt
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,7 +187,3 @@ def error_trend(errors: DataFrame) -> DataFrame:
 def false_positive_leaders(errors: DataFrame, k: int = 5) -> DataFrame:
     rows = errors.filter((F.col("predicted_links") > 0) & ~F.col("has_true_links"))
     return rows.orderBy(F.col("false_positives").desc(), F.col(COMPANY).asc()).limit(k).select(COMPANY, "false_positives")
-
-
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1.0 + erf(x / sqrt(2.0)))

@@ -7,8 +7,6 @@ sums) is windowed. A hot value spreads over ranges because the sort key ends in
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +117,3 @@ def split_points(df: DataFrame, col: str, parts: int) -> list[float]:
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     row = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, F.lit(10 * parts)).alias("s")).first()
     return sorted(set(row["s"] or []))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
