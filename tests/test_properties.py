@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biparta.operators import components, features, graph, history, negatives, neighbors, ordering, projection, ranking, reports, skew, splits
-from biparta.streaming import streams
+from biparta.streaming import stateful, streams
 
 HOT = 0.4  # share of rows on one key
 
@@ -285,17 +285,95 @@ def test_late_events_are_routed(spark, tmp_path):
     assert sorted(r["idx"] for r in late.collect()) == [2, 5]
 
 
-def test_state_can_be_restored(spark, tmp_path):
-    schema = "id long"
-    stream = _deliver(spark, f"{tmp_path}/in", [[(1,), (1,)], [(2,)], [(1,)]], schema)
-    state = streams.BatchState(spark, "t", "id bigint, n bigint")
+def _append(spark, path, batch, schema):
+    spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
 
-    def merge(old, batch):
-        return old.unionByName(batch.groupBy("id").agg(F.count(F.lit(1)).alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
 
-    final = {r["id"]: r["n"] for r in streams.drain(stream, state, merge).collect()}
-    assert final == {1: 3, 2: 1}
-    assert {r["id"]: r["n"] for r in state.snapshot(0).collect()} == {1: 2}
+def test_late_rows_without_key_or_time_are_accepted(spark, tmp_path):
+    schema = "idx long, id long, ts double, note string"
+    stream = _deliver(spark, f"{tmp_path}/in", [[(0, None, 10.0, "a"), (1, 2, 5.0, None)], [(2, None, 1.0, "b"), (3, 2, None, "c"), (4, 2, 4.0, "d")]], schema)
+    ok, late = streams.split_late(stream)
+    assert sorted(ok.collect(), key=lambda r: r.idx) == [(0, None, 10.0, "a"), (1, 2, 5.0, None), (2, None, 1.0, "b"), (3, 2, None, "c")]
+    assert late.collect() == [(4, 2, 4.0, "d")]
+
+
+def test_state_store_can_be_read_after_each_batch(spark, tmp_path):
+    stream = _deliver(spark, f"{tmp_path}/in", [[(1,), (1,)], [(2,)], [(1,)]], "id long")
+    counts = streams.node_counts(stream, f"{tmp_path}/state")
+    assert {r["id"]: r["n"] for r in counts.collect()} == {1: 3, 2: 1}
+    for batch, want in ((0, {1: 2}), (1, {1: 2, 2: 1}), (2, {1: 3, 2: 1})):
+        rows = stateful.state_of(spark, f"{tmp_path}/state", batch).select("key.id", F.col("value.count").alias("n")).collect()
+        assert {r["id"]: r["n"] for r in rows} == want
+
+
+def test_node_state_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs over one folder give what one pass in plain Python gives, in whatever order times come."""
+    schema = "id long, ts double, value double"
+    rng = random.Random(5)
+    batches = [[(rng.randrange(4), rng.uniform(0, 100), rng.choice([None, rng.uniform(-2, 2)])) for _ in range(40)] for _ in range(3)]
+    batches[1] += [(None, 1.0, 1.0), (1, None, 1.0)]
+    src, folder = f"{tmp_path}/in", f"{tmp_path}/state"
+    streams.node_state(_deliver(spark, src, batches[:2], schema), 20.0, folder=folder)
+    _append(spark, src, batches[2], schema)
+    got = {r["id"]: r for r in streams.node_state(_deliver(spark, src, [], schema), 20.0, folder=folder).collect()}
+    rows = [r for b in batches for r in b if r[0] is not None and r[1] is not None]
+    assert set(got) == {r[0] for r in rows}
+    for i, r in got.items():
+        mine = [x for x in rows if x[0] == i]
+        end = max(x[1] for x in mine)
+        assert (r["n"], r["last_ts"]) == (len(mine), end)
+        assert r["state"] == pytest.approx(sum((x[2] or 0.0) * 0.5 ** ((end - x[1]) / 20.0) for x in mine), abs=1e-9)
+
+
+def test_latest_neighbors_go_on_after_a_restart(spark, tmp_path):
+    schema = "id long, idx long, ts double, kind string"
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, float(rng.randrange(30)), rng.choice([None, "a", "b"])) for i in range(150)]
+    src, folder = f"{tmp_path}/in", f"{tmp_path}/state"
+    last = lambda batches: streams.latest_neighbors(_deliver(spark, src, batches, schema), 4, schema, ["id"], ["ts", "idx"], folder)
+    last([rows[:50], rows[50:60]])
+    _append(spark, src, rows[60:], schema)
+    want = [r for i in (1, 2, 3) for r in sorted((r for r in rows if r[0] == i), key=lambda r: (r[2], r[1]))[-4:]]
+    assert sorted(tuple(r) for r in last([]).collect()) == sorted(want)
+
+
+def test_order_monitor_against_a_plain_pass(spark, tmp_path):
+    schema = "idx long, id long, ts double"
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(3), float(rng.randrange(12))) for i in range(90)]
+    shuffled = [rng.sample(rows[a : a + 30], 30) for a in (0, 30, 60)]
+    src, folder = f"{tmp_path}/in", f"{tmp_path}/state"
+    streams.order_monitor(_deliver(spark, src, shuffled[:1], schema), folder=folder)
+    for b in shuffled[1:]:
+        _append(spark, src, b, schema)
+    got = {r["id"]: r for r in streams.order_monitor(_deliver(spark, src, [], schema), folder=folder).collect()}
+    for i in range(3):
+        ts = [r[2] for r in rows if r[1] == i]
+        back = sum(t < max(ts[:j]) for j, t in enumerate(ts) if j)
+        repeats = sum(len(part) - len(set(part)) for part in ([r[2] for r in rows[a : a + 30] if r[1] == i] for a in (0, 30, 60)))
+        assert (got[i]["n"], got[i]["last_ts"], got[i]["goes_back"], got[i]["repeats"]) == (len(ts), max(ts), back, repeats)
+
+
+def test_alerts_follow_each_refresh(spark, tmp_path):
+    """The score is a company's share of all money; alerts are its relative moves between prefixes of the deliveries."""
+    schema = "company long, investor long, raised double, ts double"
+    batches = [[(1, 7, 10.0, 1.0), (2, 7, 10.0, 1.0)], [(1, 8, 60.0, 2.0)], [(1, 7, 1.0, 3.0), (3, 9, 1.0, 3.0)]]
+
+    def rank(edges):
+        total = edges.agg(F.sum("total_raised")).scalar()
+        return edges.groupBy(F.col("company").alias("id")).agg(F.sum("total_raised").alias("raised")).select("id", (F.col("raised") / total).alias("score"))
+
+    got = streams.delta_alerts(_deliver(spark, f"{tmp_path}/in", batches, schema), rank, 0.2).collect()
+    assert sorted((r.batch, r.id, round(r.delta, 6)) for r in got if r.batch > 0) == [(1, 1, 0.75), (1, 2, -0.75)]
+
+
+def test_streams_without_rows(spark, tmp_path):
+    schema = "idx long, id long, ts double, value double"
+    empty = lambda: _deliver(spark, f"{tmp_path}/in", [[]], schema)
+    assert streams.node_state(empty(), 5.0).count() == 0
+    assert streams.order_monitor(empty()).count() == 0
+    assert [t.count() for t in streams.split_late(empty())] == [0, 0]
+    assert streams.latest_neighbors(empty(), 2, schema, ["id"], ["ts", "idx"]).count() == 0
 
 
 def test_checkpoint_folder_of_the_session_is_used(spark):
