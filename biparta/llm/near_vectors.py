@@ -18,7 +18,7 @@ are cut into blocks, and each pair of blocks is its own task.
 
 Defined cases: a null label, or a vector that is null, empty, zero or holds a component
 that is null or not finite, links with nothing and is its own component; vectors of
-different length do not link; a repeated id counts as often as it occurs; rows without an
+different length do not link; labels of any plain type are compared as they are; a repeated id counts as often as it occurs; rows without an
 id link like others but never name a component unless all of it lacks ids; an empty table
 gives an empty result; other columns are dropped.
 """
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biparta.llm.arrow_groups import in_groups
@@ -85,6 +85,8 @@ class Directions:
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; an exact scaling by a power of two keeps squares from overflowing."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -152,11 +154,19 @@ def _links(directions: dict[int, Directions], cosine: float, count: int):
     return run
 
 
+def label_text(vectors: DataFrame, label_col: str) -> Column:
+    """Equal labels have equal texts, labels that differ have not, whatever their type."""
+    label = F.col(label_col)
+    if vectors.schema[label_col].dataType.typeName() in ("float", "double"):
+        label = label + F.lit(0.0)  # one zero
+    return label.cast("string")
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, depth: int = DEPTH, block: int = BLOCK
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).cast("bigint").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"), label_text(vectors, label_col).alias("label"))
     good = F.col("label").isNotNull() & is_vector(F.col("v"))
     classes = rows.filter(good).groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("mult"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "vector-classes")

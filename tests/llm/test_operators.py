@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,8 +169,8 @@ def test_near_vectors(spark):
 
 def test_permutation_index(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    odd = spark.createDataFrame([(1000, None, 0), (1020, [0.0] * 64, 0), (None, [1.0] * 64, 0), (1040, [1.0], 0)], "vec_id bigint, embedding array<float>, label int")
-    got = permutation_index.nearest(e.select("vec_id", "embedding", "label").unionByName(odd), F.col("vec_id") % 20 == 0, least=50, share=0.25).collect()
+    odd = spark.createDataFrame([(1000, None, 0), (1020, [0.0] * 64, 0), (None, [1.0] * 64, 0), (1041, [1.0], 0)], "vec_id bigint, embedding array<float>, label int")
+    got = permutation_index.nearest(e.select("vec_id", "embedding", "label").unionByName(odd), F.col("vec_id") % 20 == 0, extra=1, share=0.25).collect()
     rows = e.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     hits = total = 0
@@ -184,6 +185,51 @@ def test_permutation_index(spark, sf):
     assert permutation_index.nearest(e.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind, values", [("string", ["a", "b", " a"]), ("double", [1.2, 1.7, math.nan]), ("boolean", [True, False, None])])
+def test_labels_of_any_type(spark, kind, values):
+    x = [1.0, 2.0, 3.0]
+    rows = [(i, [v + 1e-3 * i for v in x], values[i % 3]) for i in range(9)] + [(9, [-1.0, 0.0, 0.0], -0.0 if kind == "double" else None), (10, [-1.0, 1e-3, 0.0], 0.0 if kind == "double" else None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")).collect()}
+    linked = {i: (0, i) if values[i % 3] is None else (2, i % 3) for i in range(9)}
+    assert got == linked | ({9: (1, 9), 10: (1, 9)} if kind == "double" else {9: (0, 9), 10: (0, 10)})
+
+
+def test_huge_and_tiny_vectors(spark):
+    x = np.array([[1.0, 2.0, 0.5], [1.0, 2.1, 0.5], [-3.0, 1.0, 0.0]])
+    rows = [(10 * j + i, [float(v) * s for v in r], 0) for j, s in enumerate((1.0, 1e200, 1e-200, 1e308 / 4)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(df).collect()}
+    assert got == {10 * j + i: (7, 0) if i < 2 else (3, 2) for j in range(4) for i in range(3)}
+    found = permutation_index.nearest(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    with np.errstate(over="ignore"):
+        want = sorted(((float(np.dot(np.array(v), x[0])), i) for i, v, _ in rows if i), key=lambda p: (-p[0], p[1]))
+    assert [(r.vec_id, r.rank) for r in found] == [(i, n + 1) for n, (_, i) in enumerate(want)]
+    assert permutation_index.nearest(df, F.col("vec_id") == 10, k=20).count() == 11
+
+
+def test_each_length_is_searched(spark):
+    rows = [(20, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (40, [0.0, 1.0, 0.0]), (5, [0.0, 2.0, 1.0]), (60, [7.0])]
+    found = permutation_index.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in found) == [(20, 1, 2, 0.5), (40, 1, 5, 2.0), (40, 2, 3, 0.0)]
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_with_production_parameters(spark, clusters):
+    """20,000 vectors in two blocks, spread evenly or in clusters: a tenth and 200 rows of a block are compared."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 64))
+    if clusters:
+        x = 0.5 * x + rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    found = permutation_index.nearest(df, F.col("vec_id") % 20 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    score = x[::20] @ x.T
+    score[np.arange(1_000), np.arange(0, 20_000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    recall = np.mean([len(found[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)])
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.9
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for doc, text in sorted(rows):
