@@ -338,24 +338,44 @@ def _prime(n: str) -> str:
     return f"(SELECT min(p) FROM (SELECT unnest(range({n}, {n} + 300)) AS p) WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) r(k) WHERE k * k <= p AND p % k = 0))"
 
 
-@query(
-    "n3_plausible_negatives",
-    with_(
+def _plausible(seed: int, asked: str = "inter") -> str:
+    """SQL of the candidates of each asked interaction in walk order; knows the first 80 steps."""
+    return with_(
         INV, EDGES, INTER,
         "cpool AS (SELECT company AS negative, row_number() OVER (ORDER BY company) - 1 AS place FROM (SELECT DISTINCT company FROM inter))",
         f"pr AS (SELECT {_prime('(SELECT count(*) FROM cpool)')} AS p)",
-        f"walk AS (SELECT idx, company AS positive, investor, ts, p, {sql_draw(4, 'idx', chr(39) + 'step' + chr(39))} % (p - 1) + 1 AS step, {sql_draw(4, 'idx', chr(39) + 'offset' + chr(39))} % p AS off FROM inter, pr)",
+        f"asked AS (SELECT * FROM {asked})",
+        f"walk AS (SELECT idx, company AS positive, investor, ts, p, {sql_draw(seed, 'idx', chr(39) + 'step' + chr(39))} % (p - 1) + 1 AS step, {sql_draw(seed, 'idx', chr(39) + 'offset' + chr(39))} % p AS off FROM asked, pr)",
         "turns AS MATERIALIZED (SELECT w.*, turn, (w.step * turn + w.off) % w.p AS place FROM walk w, (SELECT unnest(range(0, 80)) AS turn) k)",
-        """tries AS (SELECT w.idx, w.investor, w.positive, c.negative, turn FROM turns w JOIN cpool c ON c.place = w.place
+        """tries AS (SELECT w.idx, w.investor, w.positive, w.ts, c.negative, turn FROM turns w JOIN cpool c ON c.place = w.place
           WHERE c.negative <> w.positive AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.company = c.negative AND e.investor = w.investor AND e.first_ts <= w.ts))""",
+        "slots AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY turn) - 1 AS slot FROM tries)",
     )
-    + "SELECT idx, investor, positive, negative, slot FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY turn) - 1 AS slot FROM tries) WHERE slot < 2",
-)
+
+
+@query("n3_plausible_negatives", _plausible(4) + "SELECT idx, investor, positive, negative, slot FROM slots WHERE slot < 2")
 def n3(spark, d):
     x = inputs.interactions(spark, d)
     return negatives.plausible_negatives(x, x, 2, seed=4).select("idx", "investor", "positive", "negative", "slot")
 
 
+# Days of history before the first labelled interaction.
+_HISTORY = 1825
+
+
+@query(
+    "m5_timed_groups",
+    _plausible(14, f"inter WHERE ts >= (SELECT min(ts) FROM inter) + {_HISTORY} * 86400")
+    + """SELECT idx, company, investor, ts, 1 AS label FROM asked
+    UNION ALL SELECT idx, negative, investor, ts, 0 FROM slots WHERE slot < 4""",
+)
+def m5_timed(spark, d):
+    """Later interactions, each with four companies that its investor had not funded by then."""
+    x = inputs.interactions(spark, d)
+    later = x.filter(F.col("ts") >= x.agg(F.min("ts")).scalar() + _HISTORY * 86400)
+    return features.timed_groups(later, negatives.plausible_negatives(later, x, 4, seed=14))
+
+
 _ALL_FREE = """ev AS (SELECT event_id AS idx, user_id, event_id % (SELECT count(*) FROM embeddings) AS positive FROM events),
   known AS (SELECT DISTINCT user_id, positive AS negative FROM ev),
   sims AS MATERIALIZED (SELECT a.vec_id AS positive, b.vec_id AS negative, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
@@ -388,9 +408,9 @@ def n4(spark, d):
     return _hard(spark, d, None, 8)
 
 
-@query("n5_top_k_hard_negatives", _hard_sql("SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY idx ORDER BY round(sim, 9) DESC, negative) <= 8", 9))
+@query("n5_top_k_hard_negatives", _hard_sql("SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY idx ORDER BY round(sim, 9) DESC, negative) <= 100", 9))
 def n5(spark, d):
-    return _hard(spark, d, 8, 9)
+    return _hard(spark, d, 100, 9)
 
 
 __all__ = ["INTERACTIONS", "graph"]

@@ -439,3 +439,23 @@ def test_block_scores_equal_single_runs(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-9)
     empty = block_ranking.block_scores(df.limit(0), [0.3], [-5.0])
     assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_timed_groups(spark):
+    """One positive and four distinct companies per group, at its own time, none funded by then."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(30), rng.choice([100, 100, 101, 102]), float(rng.randrange(50))) for i in range(80)]
+    x = spark.createDataFrame(rows, "idx bigint, company bigint, investor bigint, ts double")
+    later = x.filter("ts >= 25")
+    got = features.timed_groups(later, negatives.plausible_negatives(later, x, 4)).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.idx].append(r)
+    assert set(groups) == {r[0] for r in rows if r[3] >= 25}
+    for i, group in groups.items():
+        _, company, investor, ts = rows[i]
+        assert {(r.investor, r.ts) for r in group} == {(investor, ts)} and [r.company for r in group if r.label] == [company]
+        known = {c for _, c, v, t in rows if v == investor and t <= ts}
+        mine = [r.company for r in group if not r.label]
+        pool = {c for _, c, _, _ in rows} - known - {company}
+        assert len(mine) == len(set(mine)) == min(4, len(pool)) and not set(mine) & (known | {company})
