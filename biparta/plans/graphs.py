@@ -9,17 +9,12 @@ from biparta.operators import components, diagnostics, graph, projection, splits
 from biparta.operators.metrics import average_ranks
 from biparta.operators.ordering import exact_quantiles, global_dense_rank, global_rank
 from biparta.plans import inputs
-from biparta.plans.registry import BASE, CATS, CUTS, DEG, EDGES, ENDS, INTER, INTERACTIONS, INV, LABELLED, ORGS, SCORED, query, with_
+from biparta.plans.registry import BASE, CATS, COMPONENTS, CUTS, DEG, EDGES, ENDS, INTER, INTERACTIONS, INV, LABELLED, ORGS, SCORED, query, with_
 
 t = fixtures.table
 
 NODES = "nodes AS (SELECT 'company' AS side, p_partkey AS id FROM part UNION ALL SELECT 'investor', c_custkey FROM customer)"
 FULLDEG = "fulldeg AS (SELECT n.side, n.id, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN deg d ON d.side = n.side AND d.id = n.id)"
-# smallest node of each component: labels go over edges until no label falls any more
-COMPONENTS = """und AS MATERIALIZED (SELECT 'company:' || company AS a, 'investor:' || investor AS b FROM edges UNION ALL SELECT 'investor:' || investor, 'company:' || company FROM edges),
-    walk(node, component) USING KEY (node) AS (SELECT a, a FROM und GROUP BY 1
-      UNION SELECT u.a, min(w.component) FROM walk w JOIN und u ON u.b = w.node JOIN recurring.walk r ON r.node = u.a WHERE w.component < r.component GROUP BY 1),
-    lab AS (SELECT node, component FROM walk)"""
 
 
 def _companies(spark, d):

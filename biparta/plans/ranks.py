@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from biparta import fixtures
-from biparta.operators import block_ranking, montecarlo, ranking
+from biparta.operators import block_ranking, montecarlo, ranking, settled
 from biparta.plans import inputs
-from biparta.plans.registry import EDGES, INTER, INV, NEGS, POOL, SCORED, SCORES, query, sql_uniform, with_
+from biparta.plans.registry import COMPONENTS, EDGES, INTER, INV, NEGS, POOL, SCORED, SCORES, query, sql_uniform, with_
 
 EPS = "1e-12"
 
@@ -95,6 +95,20 @@ def r5(spark, d):
     return stops.join(length, "side").withColumn("iterations", F.col("iterations").cast("bigint"))
 
 
+@query(
+    "r5_settled_scores",
+    "WITH RECURSIVE " + ",\n".join([INV, EDGES]) + ", " + COMPONENTS + """,
+    kc AS (SELECT company, count(*) AS k FROM edges GROUP BY 1), kv AS (SELECT investor, count(*) AS k FROM edges GROUP BY 1),
+    own AS (SELECT 'company' AS side, company AS id, any_value(c.k) AS k, pow(any_value(c.k), 5.0) * sum(pow(v.k, -0.3)) AS x FROM edges JOIN kc c USING (company) JOIN kv v USING (investor) GROUP BY 2
+      UNION ALL SELECT 'investor', investor, any_value(v.k), pow(any_value(v.k), -0.3) * sum(pow(c.k, 5.0)) FROM edges JOIN kc c USING (company) JOIN kv v USING (investor) GROUP BY 2),
+    part AS (SELECT side, id, x * sum(k) OVER (PARTITION BY side, component) / sum(x) OVER (PARTITION BY side, component) AS f FROM own JOIN lab ON node = side || ':' || id)
+    SELECT side, id, round(f / sqrt(sum(f * f) OVER (PARTITION BY side)), 8) AS score FROM part""",
+)
+def r5b(spark, d):
+    """The scores that the iteration of ``r5`` tends to, without iterating."""
+    return settled.settled_scores(inputs.edges(spark, d)).select("side", "id", F.round("score", 8).alias("score"))
+
+
 @query(
     "r6_ranked_output",
     with_(INV, EDGES, *_FIVE)
