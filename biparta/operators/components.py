@@ -3,7 +3,8 @@
 Alternating large-star / small-star rounds: each round points every node at the
 smallest node it can see, until the edges form stars around component minima. The
 number of rounds grows with the logarithm of the longest path, and every round is
-minimum aggregates (combined before the shuffle) and one spread join.
+minimum aggregates (combined before the shuffle) and one spread join. It ends when no
+node is left that has two partners above it or partners on both sides.
 """
 
 from __future__ import annotations
@@ -23,14 +24,25 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _with_minimum(pairs: DataFrame) -> DataFrame:
+def _with_minimum(pairs: DataFrame, at_most: int) -> DataFrame:
+    """Pairs with ``m``, the minimum around u. ``at_most`` bounds the number of pairs."""
     minima = _minima(pairs)
-    top = minima.agg(F.max("n").alias("n")).first()["n"] or 0
-    if top <= HOT_ROWS:
+    if at_most <= HOT_ROWS:
+        # no node can be hot
         return pairs.join(minima.drop("n"), "u")
+    minima = materialize(minima, "minima")
     return spread_join(pairs, minima.drop("n"), ["u"], hot_keys(minima, ["u"], "n", HOT_ROWS), [F.col("v")])
 
 
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """Number of pairs u > v, and of nodes that keep them from being stars around the smaller ends."""
+    end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = per.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("bad")).first()
+    return row["n"] or 0, row["bad"]
+
+
 def _both_ways(e: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     return e.select(ends.alias("p")).select("p.*")
@@ -40,18 +52,17 @@ def star_components(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` for pairs ``(u, v)``; the component is its smallest node."""
     edges = materialize(pairs.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "cc")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    mark = None
+    n = edges.count()
     for _ in range(MAX_ROUNDS):
-        large = _with_minimum(_both_ways(edges)).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_minimum(_both_ways(edges), 2 * n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.filter(F.col("u") != F.col("v")).distinct(), "cc")
-        # after the large star every pair has u > v
-        small = _with_minimum(large)
+        # after the large star every pair has u > v, and there are no more of them than before
+        small = _with_minimum(large, n)
         moved = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
         edges = materialize(moved.select("p.*").filter(F.col("u") != F.col("v")).distinct(), "cc")
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == mark:
+        n, bad = _unsettled(edges)
+        if bad == 0:
             break
-        mark = (row["n"], row["h"])
     else:
         raise RuntimeError("components did not settle")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
