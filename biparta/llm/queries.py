@@ -116,7 +116,7 @@ def _host_sql(url: str) -> str:
 
 def _walk_sql() -> str:
     steps = ["s0 AS (SELECT host, way, seed, linked, seed AS x FROM nodes)"]
-    for i in range(url_trust.ITERATIONS):
+    for i in range(url_trust.most_steps()):
         d = url_trust.DAMPING
         steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT n.host, n.way, n.seed, n.linked, {1 - d!r} * n.seed + {d} * (coalesce(m.got, 0) + coalesce(n.seed * k.lost / nullif(k.seeds, 0), 0)) AS x FROM nodes n
   LEFT JOIN (SELECT a.b AS host, a.way, sum(s.x * a.p) AS got FROM s{i} s JOIN shares a ON a.host = s.host AND a.way = s.way GROUP BY 1, 2) m ON m.host = n.host AND m.way = n.way
@@ -136,7 +136,7 @@ seeds AS (SELECT host, 0 AS way, allowed::DOUBLE AS seed FROM hosts UNION ALL SE
 every AS (SELECT * FROM seeds UNION ALL SELECT DISTINCT b, way, 0.0::DOUBLE FROM shares WHERE b NOT IN (SELECT host FROM hosts)),
 nodes AS MATERIALIZED (SELECT host, way, seed, (host, way) IN (SELECT (host, way) FROM shares) AS linked FROM every),
 {_walk_sql()},
-verdicts AS (SELECT h.host, round(sum(CASE WHEN way = 1 THEN x ELSE -x END) / any_value(h.n), 9) AS host_score FROM hosts h JOIN s{url_trust.ITERATIONS} s USING (host) GROUP BY h.host)
+verdicts AS (SELECT h.host, round(sum(CASE WHEN way = 1 THEN x ELSE -x END) / any_value(h.n), 6) AS host_score FROM hosts h JOIN s{url_trust.most_steps()} s USING (host) GROUP BY h.host)
 SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN host_score > {url_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM rows_ r LEFT JOIN verdicts v ON v.host = r.host"""
 
 
