@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biparta.operators import features, projection
+from biparta.operators import features, negatives, projection
 from biparta.operators.partner_sets import BITS, MAP_BYTES, partner_sets
 
 
@@ -44,3 +45,21 @@ def test_hub_and_leaves(spark, batch):
             assert r["common_coinvestors"] == len((mine - {r["investor"]}) & flipped.get(r["investor"], set()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_hard_negatives_in_many_parts(spark, monkeypatch):
+    """Queries in several parts, destinations in several blocks: the same rows as all at once."""
+    rnd = random.Random(3)
+    emb = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(30)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(i, i % 3, rnd.randrange(30)) for i in range(40)], "idx long, who long, positive long")
+    known = queries.select("who", F.col("positive").alias("negative"))
+    for top_k in (None, 6):
+        whole = sorted(negatives.hard_negatives(queries, emb, 4, known, "who", top_k=top_k).collect())
+        monkeypatch.setattr(negatives, "QUERIES", 7)
+        assert sorted(negatives.hard_negatives(queries, emb, 4, known, "who", top_k=top_k, block=4).collect()) == whole
+        monkeypatch.undo()
+
+
+def test_kept_columns_of_equal_values():
+    merit = np.array([[1.0, 3.0, 1.0, 1.0, 2.0], [-np.inf, 5.0, -np.inf, 5.0, 5.0]])
+    assert negatives._kept(merit, 3).tolist() == [[0, 1, 4], [1, 3, 4]]
