@@ -39,6 +39,8 @@ MAX_PIECE = 16
 # Words that a worker keeps scores of, and new words scored in one go.
 MEMO_ENTRIES = 300_000
 NEW_WORDS = 20_000
+# Letters of the texts whose words are held at once.
+PART_LETTERS = 4_000_000
 UNKNOWN = "und"
 START = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,6 +67,13 @@ def load_pieces(path: str) -> list[str]:
     return out
 
 
+def with_prefixes(index: dict[str, int]) -> dict[str, int]:
+    """``index`` and -1 for what only begins a piece: a string that is not in it begins none."""
+    out = {p[:i]: -1 for p in index for i in range(1, len(p))}
+    out.update(index)
+    return out
+
+
 class Lattice:
     """All segmentations of a batch of words, as arrays of edges.
 
@@ -72,27 +81,50 @@ class Lattice:
     as part of the first letter.
     """
 
-    def __init__(self, words: list[str], index: dict[str, int], longest: int):
+    def __init__(self, words: list[str], index: dict[str, int], longest: int, walk: dict[str, int] | None = None):
         word, begin, end, piece = [], [], [], []
-        get = index.get
+        get = (with_prefixes(index) if walk is None else walk).get
         self.length = np.array([len(w) for w in words], np.int64)
         for k, w in enumerate(words):
-            marked = START + w
             n = len(w)
-            for i in range(n):
-                lo = i + 1 if i else 0
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(marked[lo : j + 1])
-                    if p is None and i == 0:
-                        p = get(marked[1 : j + 1])
+            ends, pieces = [], []
+            # from the first letter, with the start mark or else without it
+            marked, alive, plain = START + w, True, True
+            for j in range(1, min(n, longest) + 1):
+                p = get(marked[: j + 1]) if alive else None
+                alive = p is not None
+                if p is None or p < 0:
+                    q = get(w[:j]) if plain else None
+                    plain = q is not None
+                    p = q
+                if p is not None and p >= 0:
+                    ends.append(j)
+                    pieces.append(p)
+                elif j == 1:
+                    ends.append(j)
+                    pieces.append(0)
+                if not (alive or plain):
+                    break
+            starts = [0] * len(ends)
+            for i in range(1, n):
+                p = get(w[i : i + 1])
+                starts.append(i)
+                ends.append(i + 1)
+                pieces.append(p if p is not None and p >= 0 else 0)
+                if p is None:
+                    continue
+                for j in range(i + 2, min(n, i + longest) + 1):
+                    p = get(w[i:j])
                     if p is None:
-                        if j > i + 1:
-                            continue
-                        p = 0
-                    word.append(k)
-                    begin.append(i)
-                    end.append(j)
-                    piece.append(p)
+                        break
+                    if p >= 0:
+                        starts.append(i)
+                        ends.append(j)
+                        pieces.append(p)
+            word += [k] * len(ends)
+            begin += starts
+            end += ends
+            piece += pieces
         order = np.lexsort((word, end)) if word else np.zeros(0, np.int64)
         self.word, self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, begin, end, piece))
         self.n = len(words)
@@ -137,6 +169,7 @@ class Model:
     def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray):
         self.pieces, self.languages, self.p = pieces, languages, p
         self.index = {s: i + 1 for i, s in enumerate(pieces)}
+        self.walk = with_prefixes(self.index)
         self.longest = max(map(len, pieces), default=1)
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
@@ -148,10 +181,23 @@ class Model:
         for i in range(0, len(new), NEW_WORDS):
             part = new[i : i + NEW_WORDS]
             base = len(self.rows)
-            self.scores = np.concatenate([self.scores[:base], Lattice(part, self.index, self.longest).log_likelihood(self.p)])
+            self.scores = np.concatenate([self.scores[:base], Lattice(part, self.index, self.longest, self.walk).log_likelihood(self.p)])
             self.rows.update(zip(part, range(base, base + len(part)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; the words of about PART_LETTERS of text are held at once."""
+        langs, scores = [], []
+        upto = np.cumsum([len(t) if t else 0 for t in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PART_LETTERS, "right")))
+            some = self._predict(texts[lo:hi])
+            langs += some[0]
+            scores += some[1]
+            lo = hi
+        return langs, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(t) if t else [] for t in texts]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
@@ -213,7 +259,7 @@ def train(docs: DataFrame, pieces_path: str = VOCABULARY, id_col: str = "doc_id"
                     at = np.flatnonzero(langs == lang)
                     if not len(at):
                         continue
-                    lattice = Lattice([words[i] for i in at], model.index, model.longest)
+                    lattice = Lattice([words[i] for i in at], model.index, model.longest, model.walk)
                     x = lattice.expected(model.p[:, k : k + 1], n[at].astype(float))
                     used = np.flatnonzero(x)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(x[used])], names=["lang", "piece", "x"])

@@ -434,3 +434,16 @@ def test_pipeline(spark, sf, odd):
         assert n <= before if name != "mixing" else n > 0
         docs = P.materialize(out, "stage")
     assert P.STAGES[-1][1](spark, docs, sf).count() == P.run(spark, sf).count()
+
+
+def test_language_id_in_parts(monkeypatch):
+    """Texts taken a few letters at a time give the same as all at once; strings that begin no piece end the walk."""
+    from biparta.llm import language_id as L
+
+    pieces = ["a", "b", "ab", "abc", "▁a", "▁abcd", "cd"]
+    p = np.array([[0.1, 0.2], *[[0.05 * i, 0.3 / i] for i in range(1, 8)]])
+    texts = ["abcd cab", None, "", "abcabcd dd ab", "123", "bca"] * 3
+    whole = L.Model(pieces, ["x", "y"], p).predict(texts)
+    monkeypatch.setattr(L, "PART_LETTERS", 9)
+    assert L.Model(pieces, ["x", "y"], p).predict(texts) == whole
+    assert "abcde" not in L.with_prefixes({"abcd": 1}) and L.with_prefixes({"abcd": 1})["abc"] == -1
