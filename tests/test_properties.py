@@ -459,3 +459,36 @@ def test_timed_groups(spark):
         mine = [r.company for r in group if not r.label]
         pool = {c for _, c, _, _ in rows} - known - {company}
         assert len(mine) == len(set(mine)) == min(4, len(pool)) and not set(mine) & (known | {company})
+
+
+def test_recent_lists_of_a_hot_node_are_cut_into_buckets(spark):
+    # company 1 has 60 of 70 events, two at each time; its rows are cut into buckets, and lists reach over several of them
+    rows = [(1, 100 + i, float(i // 2), i) for i in range(60)] + [(c, 100, float(c), 60 + c) for c in range(2, 12)]
+    inv = spark.createDataFrame(rows, "company int, investor int, ts double, idx int")
+    adj = neighbors.temporal_adjacency(inv)
+    queries = adj.select("side", "id", "ts", "idx").unionByName(adj.select("side", F.lit(None).cast("int").alias("id"), "ts", "idx").limit(1))
+    for inclusive in (False, True):
+        index = neighbors.NeighborIndex(adj, hot_rows=5)
+        got = index.recent_lists(queries, 7, inclusive, without_history=True).collect()
+        assert len(got) == 141
+        for x in got:
+            k = 0 if x["side"] == "company" else 1
+            past = sorted(((r[2], r[3]) for r in rows if r[k] == x["id"] and (r[2] <= x["ts"] if inclusive else r[2] < x["ts"])), reverse=True)[:7]
+            assert [(n["neighbor_ts"], n["neighbor_idx"]) for n in x["near"]] == past
+
+
+def test_lists_are_pooled_without_a_shuffle_after_the_stream(inv):
+    adj = neighbors.temporal_adjacency(inv, "raised")
+    queries = adj.select("side", "id", "ts", "idx", F.array(F.lit(0.5), F.lit(1.5)).alias("q"))
+    lists = neighbors.NeighborIndex(adj).recent_lists(queries, 3, without_history=True)
+    vecs = F.transform("near", lambda x: F.array(x.raised.cast("double") / 100, x.neighbor_ts / 100))
+    pooled = neighbors.attended(lists, F.col("q"), vecs, vecs, 2).withColumn("total", neighbors.summed(vecs, 2))
+    assert pooled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(side") == 1
+    key = ["side", "id", "idx"]
+    flat = lists.select(*key, F.explode("near").alias("x")).select(*key, F.array(F.col("x.raised").cast("double") / 100, F.col("x.neighbor_ts") / 100).alias("v"))
+    plain = neighbors.pool_attention(queries, flat, key, "q", "v", "v", 2).join(neighbors.pool_sum(flat, key, [F.col("v")], 2).withColumnRenamed("pooled", "total"), key, "left")
+    want = {(x["side"], x["id"], x["idx"]): (x["pooled"], x["total"] or [0.0, 0.0]) for x in plain.collect()}
+    got = {(x["side"], x["id"], x["idx"]): (x["pooled"], x["total"]) for x in pooled.collect()}
+    assert got.keys() == want.keys()
+    for k, (a, b) in want.items():
+        assert got[k][0] == pytest.approx(a) and got[k][1] == pytest.approx(b)
