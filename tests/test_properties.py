@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from biparta.operators import components, features, graph, history, negatives, neighbors, ordering, projection, ranking, reports, skew, splits
+from biparta.operators import components, features, graph, history, metrics, negatives, neighbors, ordering, projection, ranking, reports, skew, splits
 from biparta.streaming import stateful, streams
 
 HOT = 0.4  # share of rows on one key
@@ -492,3 +492,23 @@ def test_lists_are_pooled_without_a_shuffle_after_the_stream(inv):
     assert got.keys() == want.keys()
     for k, (a, b) in want.items():
         assert got[k][0] == pytest.approx(a) and got[k][1] == pytest.approx(b)
+
+
+def test_draw_totals_are_those_of_the_listed_draws(spark):
+    pool = spark.createDataFrame([(7, 0), (None, 1), (9, 2)], "investor int, place bigint")
+    asked = spark.range(20).select(F.col("id").alias("idx"))
+    drawn = negatives.random_negatives(asked, pool, "investor", 6, 3)
+    want = drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.sum("negative").alias("total"), F.count_distinct("negative").alias("distinct_n"))
+    totals = negatives.draw_totals(asked, pool, "investor", 6, 3)
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, want.select(totals.columns).collect()))
+    # draws meet the pool where they are made
+    for made in (drawn, totals):
+        assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positive_ranks_with_a_known_best(spark):
+    rows = [(1, 1.0, 0.5), (1, 0.0, 0.7), (1, 0.0, 0.5), (2, 1.0, 0.9), (2, 0.0, 0.1), (3, 1.0, 0.2)]
+    scored = spark.createDataFrame(rows, "g int, label double, score double").withColumn("best", F.element_at(F.create_map(*map(F.lit, [1, 0.5, 2, 0.9, 3, 0.2])), F.col("g")))
+    known, plain = metrics.positive_ranks(scored, ["g"], best="best"), metrics.positive_ranks(scored, ["g"])
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect())) == [(1, 2), (2, 1), (3, 1)]
+    assert known._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
