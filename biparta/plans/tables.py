@@ -475,7 +475,7 @@ def j4(spark, d):
 @query("j5_category_rounds", with_(INV, ORGS, CATS) + "SELECT DISTINCT round_id, category AS technology FROM inv JOIN cats USING (company)")
 def j5(spark, d):
     companies = fixtures.organizations(spark, d).select(F.col("uuid").alias("id"), "category_list")
-    return fixtures.investments(spark, d).select("company", "round_id").distinct().join(graph.technology_edges(companies), "company").select("round_id", "technology").distinct()
+    return graph.round_technologies(fixtures.investments(spark, d).select("company", "round_id").distinct(), graph.technology_edges(companies))
 
 
 _HALVES = """a AS (SELECT company, count(*) AS n_before FROM inv WHERE ts <= 935193600 AND company % 9 <> 0 GROUP BY 1), b AS (SELECT company, count(*) AS n_after FROM inv WHERE ts > 935193600 GROUP BY 1)"""
